@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from .decontaminate import op10_benchmark_decontamination
 from .fingerprints import op8_fingerprints
+from .licenses import ORACLE_SQL as LICENSE_SQL, op5_license_scan
 from .sentencepiece_codec import op3_sentencepiece
 from .token_files import op7_token_files
 from .warc import op9_warc
 
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_license_scan": op5_license_scan,
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": LICENSE_SQL,
+}
