@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .block_dedup import op2_substring_dedup
 from .decontaminate import op10_benchmark_decontamination
 from .fingerprints import op8_fingerprints
 from .licenses import ORACLE_SQL as LICENSE_SQL, op5_license_scan
@@ -10,6 +11,7 @@ from .token_files import op7_token_files
 from .warc import op9_warc
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_license_scan": op5_license_scan,
     "op7_token_files": op7_token_files,
