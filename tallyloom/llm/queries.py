@@ -6,11 +6,13 @@ from .block_dedup import op2_substring_dedup
 from .decontaminate import op10_benchmark_decontamination
 from .fingerprints import op8_fingerprints
 from .licenses import ORACLE_SQL as LICENSE_SQL, op5_license_scan
+from .ngram_join import op1_ngram_jaccard
 from .sentencepiece_codec import op3_sentencepiece
 from .token_files import op7_token_files
 from .warc import op9_warc
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_license_scan": op5_license_scan,

@@ -67,7 +67,6 @@ def plain(text, items, window):
 @pytest.mark.parametrize("portion", [1 << 20, 12])
 def test_search_equals_a_plain_scan(spark, monkeypatch, portion):
     monkeypatch.setattr(dc, "BROADCAST_BYTES", portion)
-    monkeypatch.setattr(dc, "STRETCH", 7)
     rng = random.Random(2)
     make = lambda n: "".join(rng.choice(["a", "B", "b", "é", "Éx", "7"]) + rng.choice([" ", ", ", "\n", "-"]) for _ in range(n))
     items = [(i, make(n)) for i, n in enumerate([3, 4, 9, 2, 1, 30, 6])] + [(20, None), (21, ""), (22, "..."), (None, "q r s")]
@@ -79,6 +78,17 @@ def test_search_equals_a_plain_scan(spark, monkeypatch, portion):
     assert all(sum(h.end - h.start for h in r.hit_words) == r.n_hit for r in got)
 
 
+def test_stretches_meet_at_their_borders(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(rng.choice("ab") for _ in range(200))
+    items = [("x", " ".join(rng.choice("ab") for _ in range(40)))]
+    want = plain(text, items, 6)
+    for stretch in (1, 2, 7, 512):
+        monkeypatch.setattr(dc, "STRETCH", stretch)
+        n, hit, ids, runs = dc._find(pa.array([None, text, ""]), dc.matchers(items, 6))[1]
+        assert (n, hit, ids) == want and hit > 0
+
+
 def test_search_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
