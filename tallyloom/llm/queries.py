@@ -8,6 +8,7 @@ from .fingerprints import op8_fingerprints
 from .licenses import ORACLE_SQL as LICENSE_SQL, op5_license_scan
 from .ngram_join import op1_ngram_jaccard
 from .sentencepiece_codec import op3_sentencepiece
+from .suffix_dedup import op4_suffix_dedup
 from .token_files import op7_token_files
 from .warc import op9_warc
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_license_scan": op5_license_scan,
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
