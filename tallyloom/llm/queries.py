@@ -10,6 +10,7 @@ from .ngram_join import op1_ngram_jaccard
 from .sentencepiece_codec import op3_sentencepiece
 from .suffix_dedup import op4_suffix_dedup
 from .token_files import op7_token_files
+from .toxicity import op6_toxicity
 from .warc import op9_warc
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
