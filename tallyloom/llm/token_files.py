@@ -7,9 +7,10 @@ table (the public seekable format: per frame the two sizes and the low 32 bits
 of the XXH64 of its content). A reader reads the two tables and decompresses
 only the frames of the documents it was asked for, checking each.
 
-The tokenizer drops white space and its pieces never cross it, so every
-distinct run between ASCII white space is encoded once per table and the ids
-are joined back by position.
+The tokenizer lower-cases, drops white space, and its pieces never cross it nor
+the border between a letter and a sign behind it; so every distinct run between
+such borders, A-Z lowered, is encoded once per table and the ids are joined back
+by position.
 
 Defined results: a null or empty text has the end id alone; rows with a null id
 come first; rows that repeat an id follow one another in the order of their
@@ -18,9 +19,11 @@ texts; an empty table gives no files. Other columns are not written.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +45,19 @@ TABLE_WORDS = 300_000
 MANIFEST = "path string, part int, n_docs long, n_tokens long, n_bytes long"
 
 
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x61, 0x7B)]] = True
+SIGN = np.zeros(256, bool)
+SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
 class WordTable:
     """Ids of distinct runs without white space; emptied when it is full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -55,7 +65,7 @@ class WordTable:
 
     def _reset(self) -> None:
         self.row: dict[str, int] = {}
-        self.begin = [0]
+        self.begin = np.zeros(1, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
 
     def _rows(self, words: list[str]) -> np.ndarray:
@@ -65,20 +75,25 @@ class WordTable:
             new = words
         for a in range(0, len(new), 8192):
             part = new[a : a + 8192]
-            for w, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = coded.ids
-                end = self.begin[-1] + len(ids)
-                while end > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.begin[-1] : end] = ids
-                self.row[w] = len(self.begin) - 1
-                self.begin.append(end)
-        return np.array([self.row[w] for w in words], np.int64)
+            lists = [coded.ids for coded in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ends = self.begin[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+            while ends[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.begin[-1] : ends[-1]] = np.fromiter(chain.from_iterable(lists), np.uint32)
+            self.row.update(zip(part, range(len(self.begin) - 1, len(self.begin) - 1 + len(part))))
+            self.begin = np.concatenate([self.begin, ends])
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and len+1 offsets."""
         buf, off = tx.buffers(texts)
         starts, ends, word_off = tx.words(buf, off, tx.SPACE)
+        if b"<|" not in buf.tobytes():  # the added tokens are told by case, and hold such borders
+            buf = tx.LOWER[buf]
+            border = np.flatnonzero(LETTER[buf[:-1]] & SIGN[buf[1:]]) + 1
+            border = np.setdiff1d(border, off, assume_unique=False)
+            starts, ends = np.sort(np.concatenate([starts, border])), np.sort(np.concatenate([ends, border]))
+            word_off = np.searchsorted(starts, off)
         n_texts = len(off) - 1
         if len(starts) == 0:
             return np.full(n_texts, end_id, np.uint32), np.arange(n_texts + 1, dtype=np.int64)
@@ -87,7 +102,7 @@ class WordTable:
         words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
         coded = words.dictionary_encode()
         rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        begin = np.array(self.begin, np.int64)
+        begin = self.begin
         low, n = begin[rows], begin[rows + 1] - begin[rows]
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.repeat(low - total[:-1], n) + np.arange(total[-1])]
@@ -199,7 +214,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
             stack.__exit__(None, None, None)
             return pa.RecordBatch.from_pydict({"path": [name], "part": pa.array([part], pa.int32()), "n_docs": [made[0]], "n_tokens": [made[1]], "n_bytes": [made[2]]})
 
-        for batch in tx.slices(batches, "text", 1 << 20):
+        for batch in tx.slices(batches, "text", 2 << 20):
             ids, off = table.encode(batch.column("text"), end_id)
             for i, (doc, p) in enumerate(zip(batch.column("id").to_pylist(), batch.column(RANGE).to_pylist())):
                 if p != part:
