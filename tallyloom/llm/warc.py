@@ -37,6 +37,7 @@ MIN_REVISIT = 1000
 #: Payload bytes after which a task begins the next archive.
 ROLL = 256 << 20
 PIECE = 1 << 20
+LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, index string, n_records long, n_bytes long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,7 +98,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                 if out is None:
                     name = files.own_name(folder, "archive", ".warc.gz")
                     stack = files.writing(name)
-                    out, pack, n, size = stack.__enter__(), zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
+                    out, pack, n, size = stack.__enter__(), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, 0
                 raw = record(page, url, text.encode("utf-8"), target)
                 out.write(pack.compress(raw))
                 n, size = n + 1, size + len(raw)
@@ -163,7 +164,7 @@ def normalise_file(source, out, index) -> tuple[int, int]:
     """Rewrites one archive with a member for each record, and its offsets to ``index``."""
     offset = n = 0
     for raw, head in records(source):
-        pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+        pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         member = pack.compress(raw) + pack.flush()
         out.write(member)
         line = {"offset": offset, "length": len(member), "id": head["warc-record-id"], "type": head["warc-type"], "url": head.get("warc-target-uri", ""), "digest": head.get("warc-payload-digest", "")}
