@@ -56,25 +56,35 @@ def mutual_top(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
 def _near_strings(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose strings ``s`` may have a ratio of ``least`` or more.
 
-    A ratio r of lengths n and m means at most (1 - r)(n + m) inserts and deletes.
-    The left string is cut in one piece more than that; one piece is whole in the
-    right string, moved by no more places than there are edits.
+    A ratio r of lengths n and m means at most d = (1 - r)(n + m) inserts and
+    deletes. The left string is cut in up to 2d + 2 even pieces; all but d of them
+    are whole in the right string, moved by no more places than there are edits. So
+    d + 1 pieces of each left string are enough, and these are its rarest, which
+    keeps common first names and the like from drawing everyone together.
     """
     loss = 1 - least
 
     def edits(n: Column, m: Column) -> Column:
         return F.floor((n + m) * loss + 1e-9).cast("int")
 
+    def pieces(n: Column) -> Column:
+        longest = F.floor(n * (2 - least) / least + 1e-9).cast("int")
+        return F.least(2 * edits(n, longest) + 2, n)
+
     longest = F.floor(F.col("n") * (2 - least) / least + 1e-9).cast("int")
-    left = a.withColumn("n", F.length("s")).withColumn("k", edits(F.col("n"), longest) + 1)
     start = lambda i: F.floor(F.col("n") * i / F.col("k")).cast("int")
-    left = left.select("id", "n", "s", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    left = left.select(F.col("id").alias("a"), "n", "i", F.expr("substring(s, cast(floor(n * i / k) as int) + 1, cast(floor(n * (i + 1) / k) as int) - cast(floor(n * i / k) as int))").alias("piece"))
-    right = b.withColumn("m", F.length("s"))
+    left = a.withColumn("n", F.length("s")).where("n > 0").withColumn("k", pieces(F.col("n"))).withColumn("enough", edits(F.col("n"), longest) + 1)
+    left = left.select("id", "n", "s", "k", "enough", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    left = left.withColumn("from", start(F.col("i"))).withColumn("size", start(F.col("i") + 1) - F.col("from"))
+    left = left.select("id", "n", "i", "enough", F.expr("substring(s, `from` + 1, size)").alias("piece"))
+    often = left.groupBy("n", "i", "piece").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "i"))
+    left = left.join(often, ["n", "i", "piece"]).withColumn("r", rank).where("r <= enough").select(F.col("id").alias("a"), "n", "i", "piece")
+    right = b.withColumn("m", F.length("s")).where("m > 0")
     shortest = F.ceil(F.col("m") * least / (2 - least) - 1e-9).cast("int")
     most = F.floor(F.col("m") * (2 - least) / least + 1e-9).cast("int")
     right = right.select("id", "s", "m", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), F.greatest(most, F.lit(1)))).alias("n"))
-    right = right.withColumn("k", edits(F.col("n"), longest) + 1).withColumn("d", edits(F.col("n"), F.col("m")))
+    right = right.withColumn("k", pieces(F.col("n"))).withColumn("d", edits(F.col("n"), F.col("m")))
     right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
     right = right.withColumn("from", start(F.col("i"))).withColumn("size", start(F.col("i") + 1) - F.col("from"))
     right = right.select("*", F.explode(F.sequence(-F.col("d"), F.col("d"))).alias("move")).withColumn("at", F.col("from") + F.col("move")).where("at >= 0 and at + size <= m")
