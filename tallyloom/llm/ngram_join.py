@@ -21,8 +21,9 @@ sketches of 2n bits or more (folded to the shorter's length), then the sets are
 compared themselves. As components are asked for, first only one pair of each
 set is compared, that with its least partner; then the pairs that join two
 components. Sets with many hot keys are treated alike: each is compared to the
-hot key's least set, and where a key's sets are still in several components,
-their sketches are compared across components within the key.
+hot key's least set; where a key's sets are still in several components, first
+each set is compared to the nearest (by sketch) of the key's sets elsewhere, then
+all pairs that their sketches allow, told once at the least key that they share.
 
 Equal sets are one class throughout, known by a 64-bit hash; copies multiply
 nothing. All tables are written to the shared folder; the driver sees counts only.
@@ -309,8 +310,12 @@ def _equal_enough(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of one hot key's sets in different components that their sketches allow."""
+def _across(percent: int, nearest: bool):
+    """Pairs of one hot key's sets in different components that their sketches allow.
+
+    ``nearest``: of each set the nearest other alone. Otherwise all, each pair at
+    the least of the hot keys that both have, so that no pair is told twice.
+    """
 
     def run(key, table):
         sets, comp, n = (table.column(c).to_numpy() for c in ("set_id", "component", "n"))
@@ -324,17 +329,30 @@ def _across(percent: int):
             folded.append(s)
         order = np.argsort(n, kind="stable")
         sets, comp, n, grid = sets[order], comp[order], n[order], np.stack(folded)[order]
+        lists = table.column("keys").combine_chunks()
+        keys, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        early = keys < key[0].as_py()
+        places, column = np.unique(keys[early], return_inverse=True)
+        earlier = np.zeros((len(n), len(places)), np.float32)
+        earlier[np.repeat(np.arange(len(n)), np.diff(at))[early], column] = 1
+        earlier = earlier[order]
         out_a, out_b = [], []
         step = max(1, (1 << 21) // max(1, grid.size))
         for a in range(0, len(n), step):
             z = slice(a, a + step)
             stop = int(np.searchsorted(n, n[z][-1] * 100 // percent, "right"))
-            rest = slice(a, stop)
-            near = np.bitwise_count(grid[z][:, None, :] ^ grid[rest][None, :, :]).sum(axis=2, dtype=np.int64) <= most_differing(n[z][:, None], n[rest][None, :], percent)
-            near &= (comp[z][:, None] != comp[rest][None, :]) & (n[z][:, None] * 100 >= percent * n[rest][None, :])
-            i, j = np.nonzero(near)
-            keep = a + i < a + j
-            x, y = sets[a + i[keep]], sets[a + j[keep]]
+            rest = slice(0 if nearest else a, stop)
+            apart = np.bitwise_count(grid[z][:, None, :] ^ grid[rest][None, :, :]).sum(axis=2, dtype=np.int64)
+            least, most = np.minimum(n[z][:, None], n[rest][None, :]), np.maximum(n[z][:, None], n[rest][None, :])
+            near = (apart <= most_differing(least, most, percent)) & (comp[z][:, None] != comp[rest][None, :]) & (least * 100 >= percent * most)
+            if nearest:
+                i = np.flatnonzero(near.any(axis=1))
+                j = np.where(near[i], apart[i], 1 << 60).argmin(axis=1) if len(i) else i
+            else:
+                near &= earlier[z] @ earlier[rest].T == 0
+                i, j = np.nonzero(near)
+                i, j = i[i < j], j[i < j]
+            x, y = sets[a + i], sets[rest.start + j]
             out_a.append(np.minimum(x, y))
             out_b.append(np.maximum(x, y))
         return pa.table({"a": pa.array(np.concatenate(out_a), pa.int64()), "b": pa.array(np.concatenate(out_b), pa.int64())})
@@ -412,17 +430,24 @@ class Join:
         hot = found.where("kind = 1").select(F.col("a").alias("hot"), F.col("b").alias("set_id"), "next")
         counts = hot.groupBy("set_id", "next").agg(F.count("*").alias("c")).join(self.sets.select("set_id", "w0", "w1"), "set_id")
         weak = counts.where(F.col("c") >= F.when(F.col("next") == 0, F.col("w0")).otherwise(F.col("w1"))).select("set_id", "next")
-        member = self._labelled(hot.join(weak, ["set_id", "next"], "left_semi").select("hot", "set_id"), nodes, "set_id", "component")
-        split = member.groupBy("hot").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hot")
-        open_ = s.keep(member.join(split, "hot"), "open")
-        if not open_.isEmpty():
-            rows = open_.join(self.sets.select("set_id", "n", "sketch"), "set_id")
-            pairs = rows.groupBy("hot").applyInArrow(_across(self.percent), "a long, b long").distinct()
-            pairs = s.keep(pairs.join(least.select("a", "b"), ["a", "b"], "left_anti"), "across")
+        hot = s.keep(hot.join(weak, ["set_id", "next"], "left_semi").select("hot", "set_id"), "hot")
+        done = least.select("a", "b")
+        for k, nearest in enumerate((True, False)):
+            # First each set's nearest one, which joins most components; then all pairs that are still apart.
+            member = self._labelled(hot, nodes, "set_id", "component")
+            split = member.groupBy("hot").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hot")
+            open_ = s.keep(member.join(split, "hot"), f"open-{k}")
+            if open_.isEmpty():
+                break
+            keys = open_.groupBy("set_id").agg(F.sort_array(F.collect_set("hot")).alias("keys"))  # at most a set's own keys
+            rows = open_.join(self.sets.select("set_id", "n", "sketch").join(keys, "set_id"), "set_id")
+            pairs = rows.groupBy("hot").applyInArrow(_across(self.percent, nearest), "a long, b long").distinct()
+            pairs = s.keep(pairs.join(done, ["a", "b"], "left_anti"), f"across-{k}")
             if not pairs.isEmpty():
-                edges = s.keep(edges.unionAll(self._verified(pairs, "third")), "edges-3")
-                nodes = components(edges, s, "third-components")
-        s.drop("found", "near", "open")
+                edges = s.keep(edges.unionAll(self._verified(pairs, f"third-{k}")), f"edges-3-{k}")
+                nodes = components(edges, s, f"third-components-{k}")
+                done = done.unionAll(pairs)
+        s.drop("found", "near", "hot", "open-0", "open-1")
         return edges, nodes
 
     def result(self) -> DataFrame:
