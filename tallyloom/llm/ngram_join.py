@@ -395,10 +395,12 @@ class Join:
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select(F.col("b").alias("set_id"))).distinct()
-        x = self.scratch.keep(self._sets_of(self.sets.select("set_id", "key").join(nodes, "set_id")), f"{name}-sets")
+        # Written first, so that its size is known: where few sets are wanted, Spark sends them to the texts and shuffles none.
+        wanted = self.scratch.keep(self.sets.select("set_id", "key").join(nodes, "set_id"), f"{name}-wanted")
+        x = self.scratch.keep(self._sets_of(wanted), f"{name}-sets")
         rows = pairs.join(x.select(F.col("set_id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("set_id").alias("b"), F.col("x").alias("xb")), "b")
         out = self.scratch.keep(rows.select("a", "b", "xa", "xb").mapInArrow(_equal_enough(self.percent), "a long, b long"), name)
-        self.scratch.drop(f"{name}-sets")
+        self.scratch.drop(f"{name}-sets", f"{name}-wanted")
         return out
 
     @staticmethod
