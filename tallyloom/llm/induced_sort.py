@@ -47,17 +47,24 @@ class Queue:
             self.blocks.append((at, lcp))
 
     def take(self):
-        """All blocks put so far, one after another."""
-        while self.blocks:
-            block = self.blocks.pop(0)
+        """All that was put so far, joined to arrays of at most ``QUEUE_TUPLES`` or one block; what is put meanwhile waits."""
+        blocks, self.blocks = self.blocks, []
+        held, size = [], 0
+        for block in blocks:
             if isinstance(block, tuple):
                 self.bound[0] += len(block[0])
-                yield block
             else:
                 block.seek(0)
                 at, lcp = np.load(block)
                 block.close()
-                yield at, lcp
+                block = (at, lcp)
+            if held and size + len(block[0]) > QUEUE_TUPLES:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
+            held.append(block)
+            size += len(block[0])
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def types(text: np.ndarray) -> np.ndarray:
@@ -181,8 +188,9 @@ def suffix_array(data: bytes | np.ndarray, depth: int, folder: str | None = None
     star_lcp = np.zeros(len(ordered), np.int64)
     star_lcp[1:] = common_prefix(text, ordered[:-1], ordered[1:], depth)
     bound = [queue_tuples]
+    kind = np.int32 if n < 1 << 31 else np.int64
 
-    def induce(queues, waiting, at, lcp, since, wanted, sign):
+    def induce(queues, at, lcp, since, wanted):
         """Puts the suffixes one byte before those at ``at`` that are of the wanted type into their queues."""
         # since[c]: the least common prefix met since the last suffix that went to queue c.
         before = at - 1
@@ -207,13 +215,11 @@ def suffix_array(data: bytes | np.ndarray, depth: int, folder: str | None = None
         np.minimum(since, running[-1], out=since)
         for a, b in zip(starts.tolist(), ends.tolist()):
             c = int(byte[a])
-            queues[c].put(source[a:b], found[a:b])
+            queues[c].put(source[a:b].astype(kind), found[a:b].astype(np.int32))
             w = int(where[b - 1])
             since[c] = tail[w + 1] if w + 1 < len(tail) else depth
-        return
 
     # L suffixes, from the least byte to the greatest. The virtual end induces the last suffix.
-    big = np.int64(depth)
     queues = [Queue(bound, folder) for _ in range(256)]
     since = np.full(256, -1, np.int64)
     # In order of reading: for each byte its L suffixes, then its S* suffixes.
@@ -221,7 +227,6 @@ def suffix_array(data: bytes | np.ndarray, depth: int, folder: str | None = None
     since[int(text[n - 1])] = 0
     star_from = np.searchsorted(heads, np.arange(257))
     l_blocks: list[list] = [[] for _ in range(256)]
-    star_first: list[int] = [0] * 256
     for c in range(256):
         last = None
         fresh = True
@@ -233,21 +238,19 @@ def suffix_array(data: bytes | np.ndarray, depth: int, folder: str | None = None
                     fresh = False
                 l_blocks[c].append((at, lcp))
                 last = int(at[-1])
-                induce(queues, None, at, lcp, since, False, 1)
+                induce(queues, at, lcp, since, False)
         a, b = int(star_from[c]), int(star_from[c + 1])
         if b > a:
             lcp = star_lcp[a:b].copy()
             lcp[0] = common_prefix(text, np.array([last]), ordered[a : a + 1], depth)[0] if last is not None else 0
-            induce(queues, None, ordered[a:b], lcp, since, False, 1)
+            induce(queues, ordered[a:b], lcp, since, False)
 
     # S suffixes, from the greatest byte to the least; reading backwards, lcp[i] is shared with the suffix read before.
     queues = [Queue(bound, folder) for _ in range(256)]
     since = np.full(256, -1, np.int64)
     s_blocks: list[list] = [[] for _ in range(256)]
-    carry = 0
     for c in range(255, -1, -1):
-        carry = 0  # nothing is shared with suffixes of another first byte
-        last = None
+        last = None  # nothing is shared with suffixes of another first byte
         while queues[c].blocks:
             for at, lcp in queues[c].take():
                 lcp = lcp.copy()
@@ -255,7 +258,7 @@ def suffix_array(data: bytes | np.ndarray, depth: int, folder: str | None = None
                     lcp[0] = 0
                 s_blocks[c].append((at, lcp))
                 last = int(at[-1])
-                induce(queues, None, at, lcp, since, True, -1)
+                induce(queues, at, lcp, since, True)
         # The L suffixes of the byte, read from the last to the first.
         if l_blocks[c]:
             at = np.concatenate([x for x, _ in l_blocks[c]])
@@ -265,7 +268,7 @@ def suffix_array(data: bytes | np.ndarray, depth: int, folder: str | None = None
             shared = np.concatenate([[0], lcp[1:][::-1]])
             if last is not None:
                 shared[0] = common_prefix(text, np.array([last]), back[:1], depth)[0]
-            induce(queues, None, back, shared, since, True, -1)
+            induce(queues, back, shared, since, True)
 
     order, shared = [], []
     for c in range(256):

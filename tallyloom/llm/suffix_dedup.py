@@ -36,6 +36,8 @@ from .scratch import Scratch
 
 LENGTH = 400
 GRAM = 64
+#: Bytes of texts whose strings are hashed at a time, and of segments that are sorted at a time (those of one anchor are never parted).
+PART = 1 << 20
 SEGMENTS = "bucket int, __range int, anchors binary, lengths binary, twice binary, data binary"
 
 
@@ -92,8 +94,8 @@ class Texts:
         self.buf, self.off = tx.buffers(table.column("text"))
         found = []
         a = 0
-        while a < len(self.off) - 1:  # whole texts of a few megabytes at a time
-            b = max(a + 1, int(np.searchsorted(self.off, self.off[a] + tx.SLICE, "right")) - 1)
+        while a < len(self.off) - 1:  # whole texts of about a megabyte at a time
+            b = max(a + 1, int(np.searchsorted(self.off, self.off[a] + PART, "right")) - 1)
             base = self.off[a]
             anchors, starts, counts = segments(self.buf[base : self.off[b]], self.off[a : b + 1] - base, length, gram)
             found.append((anchors, starts + base, counts))
@@ -134,14 +136,16 @@ class Texts:
                 lo, hi = at[np.searchsorted(bucket, b, "left")], at[np.searchsorted(bucket, b, "right")]
                 flag[lo:hi] = np.unpackbits(np.frombuffer(packed, np.uint8), count=hi - lo).astype(bool)
         flag |= np.repeat(twice, counts)
-        edge = np.zeros(len(self.buf) + 1, np.int64)
-        own = self.counts[rows]
-        place = np.repeat(self.starts[rows] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum()) if len(rows) else np.zeros(0, np.int64)
-        source = np.repeat(at[number] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum()) if len(rows) else place
-        gone = place[flag[source]]
-        edge[gone] += 1
-        edge[gone + self.length] -= 1
-        return np.cumsum(edge[:-1]) > 0
+        edge = np.zeros(len(self.buf) + 1, np.int32)
+        for a in range(0, len(rows), 4096):
+            some, own = rows[a : a + 4096], self.counts[rows[a : a + 4096]]
+            before = np.repeat(np.cumsum(own) - own, own)
+            nth = np.arange(own.sum()) - before
+            gone = (np.repeat(self.starts[some], own) + nth)[flag[np.repeat(at[number[a : a + 4096]], own) + nth]]
+            edge[gone] += 1
+            edge[gone + self.length] -= 1
+        np.cumsum(edge, out=edge)
+        return edge[:-1] > 0
 
 
 def _gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -168,18 +172,26 @@ def repeats_in_shard(anchors: np.ndarray, lengths: np.ndarray, data: np.ndarray,
     kept = one[several]
     at = np.concatenate([[0], np.cumsum(counts[one])])
     flag = np.repeat(again, counts[one])
-    if len(kept):
-        text = _gather(data, starts[kept], lengths[kept])
-        begin = np.concatenate([[0], np.cumsum(lengths[kept])])
+    flag_at = at[:-1][several]
+    size = np.concatenate([[0], np.cumsum(lengths[kept])])
+    own = group[several]
+    a = 0
+    while a < len(kept):
+        # Equal strings have equal anchors, so whole groups of an anchor are sorted by themselves.
+        b = max(a + 1, int(np.searchsorted(size, size[a] + PART, "right")) - 1)
+        b = int(np.searchsorted(own, own[b - 1], "right"))
+        text = _gather(data, starts[kept[a:b]], lengths[kept[a:b]])
+        n = counts[kept[a:b]]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        windows = np.repeat(size[a:b] - size[a], n) + nth
         valid = np.zeros(len(text), bool)
-        windows = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(counts[kept])[:-1]]), counts[kept]) + np.arange(counts[kept].sum())
         valid[windows] = True
         sa, lcp = suffix_array(text, length)
         run = np.cumsum(lcp < length) - 1
-        run -= run.min()
         found = np.zeros(len(text), bool)
         found[sa] = (np.bincount(run, weights=valid[sa])[run] > 1) & valid[sa]
-        flag[np.repeat(several, counts[one])] |= found[windows]
+        flag[np.repeat(flag_at[a:b], n) + nth] |= found[windows]
+        a = b
     source = np.repeat(at[number] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
     return flag[source]
 
