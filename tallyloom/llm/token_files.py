@@ -7,10 +7,11 @@ table (the public seekable format: per frame the two sizes and the low 32 bits
 of the XXH64 of its content). A reader reads the two tables and decompresses
 only the frames of the documents it was asked for, checking each.
 
-The tokenizer lower-cases, drops white space, and its pieces never cross it nor
-the border between a letter and a sign behind it; so every distinct run between
-such borders, A-Z lowered, is encoded once per table and the ids are joined back
-by position.
+Where the tokenizer lower-cases, drops white space, and cuts texts in runs of
+letters, single digits and runs of signs (its own description is examined), its
+pieces never cross white space nor most borders between these; so every distinct
+run between such borders, A-Z lowered, is encoded once per table and the ids are
+joined back by position. Other tokenizers get whole texts.
 
 Defined results: a null or empty text has the end id alone; rows with a null id
 come first; rows that repeat an id follow one another in the order of their
@@ -19,6 +20,7 @@ texts; an empty table gives no files. Other columns are not written.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -41,18 +43,79 @@ SEEK_FRAME, INDEX_FRAME, SEEK_MAGIC, WITH_CHECKSUMS = 0x184D2A5E, 0x184D2A5D, 0x
 
 #: Ids in a frame, but for documents that are longer.
 FRAME_IDS = 1 << 18
-TABLE_WORDS = 300_000
+#: Distinct pieces that a worker remembers.
+TABLE_WORDS = 400_000
 MANIFEST = "path string, part int, n_docs long, n_tokens long, n_bytes long"
 
 
-LETTER = np.zeros(256, bool)
-LETTER[[*range(0x61, 0x7B)]] = True
-SIGN = np.zeros(256, bool)
-SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+# How a tokenizer must be made for its texts to be cut at the borders below.
+NORMALISER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+#: Kinds of bytes of a text with A-Z lowered: other, letter, digit, sign, apostrophe.
+OTHER, LETTER, DIGIT, SIGN, QUOTE = range(5)
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = SIGN
+KIND[0x30:0x3A] = DIGIT
+KIND[0x61:0x7B] = LETTER
+KIND[0x27] = QUOTE
+#: Second bytes of the letters from U+00C0 to U+00FF, whose first byte is C3.
+ACCENTED = np.zeros(256, bool)
+ACCENTED[0x80:0xC0] = True
+ACCENTED[[0x97, 0xB7]] = False
+
+
+def separable(tokenizer) -> bool:
+    """Whether white space, and the borders that ``borders`` finds, are borders of this tokenizer's pieces."""
+    made = json.loads(tokenizer.to_str())
+    normaliser, pre, model = made["normalizer"], made["pre_tokenizer"], made["model"]
+    if not normaliser or not pre or normaliser["type"] != "Sequence" or pre["type"] != "Sequence":
+        return False
+    first = pre["pretokenizers"][0]
+    return (
+        normaliser["normalizers"] == NORMALISER
+        and len(pre["pretokenizers"]) == 2
+        and (first["type"], first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+        and first["pattern"] == {"Regex": SPLIT}
+        and pre["pretokenizers"][1]["type"] == "ByteLevel"
+        and not pre["pretokenizers"][1]["use_regex"]
+        and not pre["pretokenizers"][1]["add_prefix_space"]
+        and model["type"] == "BPE"
+        and not model.get("dropout")
+        and bool(model.get("end_of_word_suffix"))
+    )
+
+
+def borders(buf: np.ndarray) -> np.ndarray:
+    """Which bytes begin a piece behind a byte that is no white space.
+
+    A run of letters ends at a digit or sign, and a digit is a piece of its own;
+    a sign ends at a letter unless it is an apostrophe, which may begin a contraction.
+    """
+    kind = KIND[buf]
+    accent = np.zeros(len(buf), bool)  # second bytes of accented letters
+    accent[1:] = (buf[:-1] == 0xC3) & ACCENTED[buf[1:]]
+    after = np.where(accent, np.uint8(LETTER), kind)  # the kind that a byte ends
+    before = kind.copy()  # the kind that a byte begins
+    before[:-1][accent[1:]] = LETTER
+    left, right = after[:-1], before[1:]
+    out = np.zeros(len(buf), bool)
+    out[1:] = (
+        (left != right)
+        & (left != OTHER)
+        & (right != OTHER)
+        & ~((left >= SIGN) & (right >= SIGN))
+        & ~((left == QUOTE) & (right == LETTER))
+    )
+    return out
 
 
 class WordTable:
-    """Ids of distinct runs without white space; emptied when it is full."""
+    """Ids of distinct pieces of texts; emptied when it is full."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,6 +124,13 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.separable = separable(self.tokenizer)
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        if self.separable:
+            suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+            self.last[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -68,45 +138,100 @@ class WordTable:
         self.begin = np.zeros(1, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
 
+    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        ends = self.begin[-1] + np.cumsum(sizes)
+        while len(ends) and ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.begin[-1] : self.begin[-1] + len(flat)] = flat
+        self.row.update(zip(words, range(len(self.begin) - 1, len(self.begin) - 1 + len(words))))
+        self.begin = np.concatenate([self.begin, ends])
+
+    def _encode_each(self, words: list[str]) -> None:
+        lists = [coded.ids for coded in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._add(words, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
+
+    def _encode_runs(self, words: list[str]) -> None:
+        """Runs of letters, each one pre-token, as texts of many; the ids that end a pre-token part them again."""
+        texts = [" ".join(words[a : a + 512]) for a in range(0, len(words), 512)]
+        lists = [coded.ids for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) == len(words) and (not len(flat) or ends[-1] == len(flat)):
+            self._add(words, flat, np.diff(ends, prepend=0))
+        else:
+            self._encode_each(words)
+
     def _rows(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.row]
         if len(self.row) + len(new) > TABLE_WORDS:
             self._reset()
             new = words
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            lists = [coded.ids for coded in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            ends = self.begin[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
-            while ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.begin[-1] : ends[-1]] = np.fromiter(chain.from_iterable(lists), np.uint32)
-            self.row.update(zip(part, range(len(self.begin) - 1, len(self.begin) - 1 + len(part))))
-            self.begin = np.concatenate([self.begin, ends])
+        runs, others = [], []
+        for w in new:
+            (runs if w.isalpha() and (w.isascii() or max(w) < "\u0180") else others).append(w)
+        for words_, encode in ((runs, self._encode_runs), (others, self._encode_each)):
+            for a in range(0, len(words_), 16384):
+                encode(words_[a : a + 16384])
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
+    def _whole(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        lists = [coded.ids for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        return np.insert(flat, ends, end_id), np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with the end id after each text, and len+1 offsets."""
+        """All ids with the end id after each text, and len+1 offsets.
+
+        Texts that hold a string of an added token (which may cross borders and
+        is told by case), and all texts of a tokenizer of another make, are
+        encoded as they are.
+        """
+        texts = pc.fill_null(texts, "")
+        if not self.separable:
+            return self._whole(texts.to_pylist(), end_id)
+        odd = np.zeros(len(texts), bool)
+        for content in self.added:
+            odd |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._by_pieces(texts, end_id)
+        plain = self._by_pieces(pc.if_else(pa.array(odd), "", texts), end_id)
+        whole = self._whole(texts.filter(pa.array(odd)).to_pylist(), end_id)
+        parts, sizes, nth = [], np.diff(plain[1]), np.cumsum(odd) - 1
+        sizes[odd] = np.diff(whole[1])
+        for i, of_whole in enumerate(odd):
+            (ids, off), j = (whole, nth[i]) if of_whole else (plain, i)
+            parts.append(ids[off[j] : off[j + 1]])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _by_pieces(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         buf, off = tx.buffers(texts)
-        starts, ends, word_off = tx.words(buf, off, tx.SPACE)
-        if b"<|" not in buf.tobytes():  # the added tokens are told by case, and hold such borders
-            buf = tx.LOWER[buf]
-            border = np.flatnonzero(LETTER[buf[:-1]] & SIGN[buf[1:]]) + 1
-            border = np.setdiff1d(border, off, assume_unique=False)
-            starts, ends = np.sort(np.concatenate([starts, border])), np.sort(np.concatenate([ends, border]))
-            word_off = np.searchsorted(starts, off)
         n_texts = len(off) - 1
+        if len(buf) == 0:
+            return np.full(n_texts, end_id, np.uint32), np.arange(n_texts + 1, dtype=np.int64)
+        buf = tx.LOWER[buf]
+        inside = ~tx.SPACE[buf]
+        begin = borders(buf)
+        begin[0] = True
+        begin[1:] |= ~inside[:-1]
+        begin[off[off < len(buf)]] = True
+        begin &= inside
+        starts = np.flatnonzero(begin)
         if len(starts) == 0:
             return np.full(n_texts, end_id, np.uint32), np.arange(n_texts + 1, dtype=np.int64)
-        at = np.concatenate([[0], np.cumsum(ends - starts)])
-        flat = buf[np.repeat(starts - at[:-1], ends - starts) + np.arange(at[-1])]
-        words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+        # The pieces side by side are the texts without white space.
+        at = np.concatenate([[0], np.cumsum(inside)])[np.append(starts, len(buf))]
+        words = pa.Array.from_buffers(
+            pa.string(), len(starts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(buf[inside].tobytes())]
+        )
         coded = words.dictionary_encode()
         rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        begin = self.begin
-        low, n = begin[rows], begin[rows + 1] - begin[rows]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(low - total[:-1], n) + np.arange(total[-1])]
-        ends_at = total[word_off[1:]]
+        low = self.begin[rows]
+        total = np.concatenate([[0], np.cumsum(self.begin[rows + 1] - low)])
+        ids = self.ids[np.repeat(low - total[:-1], np.diff(total)) + np.arange(total[-1])]
+        ends_at = total[np.searchsorted(starts, off[1:])]
         return np.insert(ids, ends_at, end_id).astype(np.uint32), np.concatenate([[0], ends_at + np.arange(1, n_texts + 1)])
 
 
