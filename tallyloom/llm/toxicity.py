@@ -1,37 +1,42 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-Words are compared by the gap-weighted subsequence kernel: for a landmark of m
-letters it counts the subsequences of m - 1 letters that a word shares with it,
-each weighted by ``DECAY`` to the power of the stretch it takes in both. So an
-insult with an inserted, missing or changed letter still scores near its landmark.
-Words are lower-cased, look-alike signs become letters, other signs fall away, and
-four or more single letters in a row are one word, so spelt-out words are read.
-
-A sentence's kernel with a landmark is the greatest of its words'. The features
-are Nystroem's, K(S, L) K(L, L)^-1/2, and a linear SVM is trained on labelled
-sentences: those of clean documents, and of each toxic document the one that the
-machine finds most toxic (first by its landmarks, then by itself). As spellings
-vary, each such sentence is also given with letters inserted into its worst word.
-A document scores as its worst sentence, turned into a probability by a logistic
-fitted to the documents of the sample.
+Words are compared by the gap-weighted subsequence kernel, summed over all orders:
+of every subsequence that two words share, ``DECAY`` to the power of the stretches
+that it takes in both, times ``GROWTH`` to the power of its letters. So an insult
+with inserted letters still scores near its landmark. The kernel is not divided by
+the word's own, so a stem counts in whatever word it stands. Words are lower-cased,
+look-alike signs become letters, other signs fall away, and four or more single
+letters in a row are one word, so spelt-out words are read.
+
+A word's features are Nystroem's, K(w, L) K(L, L)^-1/2 (either side over the
+landmarks' own kernels). A word that lacks two letters of a landmark, or shares
+less than ``FAR`` of its kernel, has none for it: nearly all words are so told
+apart by their letters alone. A sentence pools the greatest of its words, and a
+linear SVM is trained on labelled sentences: those of clean documents, and of each
+toxic document the one that the machine finds most toxic (first by its landmarks,
+then by itself). As spellings vary, each such sentence is also given with a letter
+inserted into its worst word. A document scores as its worst sentence, turned into
+a probability by a logistic fitted to the documents of the sample.
 
 Landmarks are parts of words that tell toxic documents in the training sample,
-chosen one after another by the documents that each adds.
+chosen one after another by the documents that each adds; where no part tells, the
+words of most toxic and least clean documents are taken.
 
 The sample is bounded: ``SAMPLE`` rows of each label, those of least hash of their
-id. All else works on whole texts of all rows, in one narrow pass.
+id, and of these as many as ``SAMPLE_BYTES`` of text allow. All else works on
+whole texts of all rows, in one narrow pass.
 
 Defined results: null and empty texts score as a sentence without any landmark;
-null labels and null ids are not learnt from; with fewer than two labels in the
-sample the score is the share of toxic rows in it (0 without rows); rows that
-repeat an id are each scored; columns named like an output are replaced.
+null labels and null ids are not learnt from; of rows that repeat a labelled id the least text
+is; with fewer than two labels in the sample the score is the share of toxic rows
+in it (0 without rows); rows that repeat an id are each scored; columns named like
+an output are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,13 +47,19 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import textops as tx
 
 SAMPLE = 2000
+SAMPLE_BYTES = 16 << 20
+#: Features that a word may have; further parts add no document to those that the first ones tell.
 LANDMARKS = 64
-DECAY = 0.7
+DECAY, GROWTH = 0.7, 10.0
+FAR = 0.2
 SHORTEST, LONGEST = 4, 9
 #: Log-likelihood ratio from which a part is no chance find among the many that are tried.
 SURE = 10
+#: Toxic documents that a part must be in: ``SUPPORT``, and so many of a thousand. Rarer insults are not learnt: among the
+#: parts that are tried, some stand in a few toxic documents by chance (those of one language, say) and would reject clean ones.
+SUPPORT, FLOOR = 3, 25
 WIDTH = 32
-TABLE_WORDS = 500_000
+TABLE_WORDS = 300_000
 SPELT = 4
 
 #: Signs that stand for letters. Fixed values.
@@ -73,26 +84,35 @@ def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grid, np.bitwise_or.reduce(bits, axis=1)
 
 
-def subsequence_kernel(grid: np.ndarray, other: np.ndarray, order: int, decay: float = DECAY) -> np.ndarray:
-    """The gap-weighted kernel of each row of ``grid`` with one string of codes."""
+def subsequence_kernel(grid: np.ndarray, other: np.ndarray, order: int, decay: float = DECAY, growth: float = 0.0) -> np.ndarray:
+    """The gap-weighted kernel of each row of ``grid`` with one string of codes.
+
+    Of one order, or with ``growth`` of all orders up to it, each times ``growth`` to its power.
+    """
     n, m = len(grid), len(other)
-    # reach[j]: weighted matches of i letters that end at or before letter j of the other string, read so far.
+    # below[a, b]: weighted matches of the letters so far that end at or before letters a and b of the two strings.
     width = int((grid > 0).sum(axis=1).max()) if n else 0
     below = np.ones((width + 1, m + 1, n), np.float32)
     total = np.zeros(n, np.float64)
-    square = np.float32(decay * decay)
+    square, decay = np.float32(decay * decay), np.float32(decay)
+    same = {b: grid[:, :width].T == other[b - 1] for b in range(1, m + 1)}
+    zero = np.float32(0)
     for i in range(1, order + 1):
         here = np.zeros_like(below)
-        for a in range(1, width + 1):
+        level = np.zeros(n, np.float32)
+        for a in range(i, width + 1):
             run = np.zeros(n, np.float32)
-            for b in range(1, m + 1):
-                same = grid[:, a - 1] == other[b - 1]
-                gain = np.where(same, square * below[a - 1, b - 1], np.float32(0))
-                if i == order:
-                    total += gain
-                else:
-                    run = run * np.float32(decay) + gain
-                    here[a, b] = here[a - 1, b] * np.float32(decay) + run
+            for b in range(i, m + 1):
+                gain = np.where(same[b][a - 1], below[a - 1, b - 1], zero)
+                gain *= square
+                level += gain
+                if i < order:
+                    run *= decay
+                    run += gain
+                    np.multiply(here[a - 1, b], decay, out=here[a, b])
+                    here[a, b] += run
+        if i == order or growth:
+            total += level * (growth**i if growth else 1.0)
         below = here
     return total
 
@@ -110,27 +130,36 @@ class Model:
         grids = [np.array([ord(c) for c in x], np.uint32) for x in self.landmarks]
         self.codes = grids
         self.bits = [int(np.bitwise_or.reduce(np.uint64(1) << (g & 63).astype(np.uint64))) for g in grids]
-        self.self_kernel = np.array([subsequence_kernel(np.pad(g, (0, WIDTH - len(g)))[None, :], g, len(g) - 1)[0] for g in grids]) if grids else np.zeros(0)
+        own = [subsequence_kernel(np.pad(g, (0, WIDTH - len(g)))[None, :], g, len(g), growth=GROWTH)[0] for g in grids]
+        self.self_kernel = np.array(own) if own else np.zeros(0)
         self.table: dict[str, int] = {}
         self.rows = [np.zeros((1, len(self.landmarks)), np.float32)]
         self.n_rows = 1
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """Kernels of words with all landmarks, each as a share of the landmark's own, 1 at most, squared."""
+        """Kernels of words with all landmarks, each as a share of the landmark's own; the greatest of a long word's pieces."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         split = [(i, p) for i, w in enumerate(words) for p in pieces(w)]
-        grid, bits = codes_of([p for _, p in split])
-        owner = np.array([i for i, _ in split], np.int64)
-        size = (grid > 0).sum(axis=1)
-        for k, (code, own) in enumerate(zip(self.codes, self.bits)):
-            # A common subsequence of all letters but one needs all distinct letters but one.
-            fits = np.flatnonzero((np.bitwise_count(np.uint64(own) & ~bits) <= 1) & (size >= len(code) - 1))
-            if len(fits):
-                share = np.minimum(subsequence_kernel(grid[fits], code, len(code) - 1) / self.self_kernel[k], 1.0) ** 2
-                np.maximum.at(out[:, k], owner[fits], share.astype(np.float32))
-        out[out < 0.1] = 0  # far words are no evidence, and need no features
+        split.sort(key=lambda x: len(x[1]))  # the kernel takes as long as the longest word that it is given
+        for begin in range(0, len(split), 4096):
+            part = split[begin : begin + 4096]
+            grid, bits = codes_of([p for _, p in part])
+            owner = np.array([i for i, _ in part], np.int64)
+            size = (grid > 0).sum(axis=1)
+            for k, (code, own) in enumerate(zip(self.codes, self.bits)):
+                fits = np.flatnonzero((np.bitwise_count(np.uint64(own) & ~bits) <= 1) & (size >= len(code) - 1))
+                if len(fits):
+                    share = subsequence_kernel(grid[fits], code, len(code), growth=GROWTH) / self.self_kernel[k]
+                    np.maximum.at(out[:, k], owner[fits], share.astype(np.float32))
+        out[out < FAR] = 0
         return out
 
+    def gram(self) -> np.ndarray:
+        """Kernels of the landmarks with each other, either side over its own; symmetric and positive."""
+        grid, _ = codes_of(self.landmarks)
+        own = np.stack([subsequence_kernel(grid, code, len(code), growth=GROWTH) for code in self.codes], axis=1)
+        return own / np.outer(np.sqrt(np.diag(own)), np.sqrt(np.diag(own)))
+
     def number(self, words: list[str]) -> np.ndarray:
         """Rows of the table of active words (0: no landmark near), for distinct raw words."""
         new = [w for w in words if w not in self.table]
@@ -155,11 +184,7 @@ class Model:
         starts, ends, word_off = tx.words(buf, off, tx.SPACE)
         if len(starts) == 0:
             return np.zeros((0, len(self.landmarks)), np.float32), np.zeros(0, np.int64)
-        at = np.concatenate([[0], np.cumsum(ends - starts)])
-        flat = buf[np.repeat(starts - at[:-1], ends - starts) + np.arange(at[-1])]
-        coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]).dictionary_encode()
-        index = coded.indices.to_numpy()
-        distinct = coded.dictionary.to_pylist()
+        distinct, index, text = _words(texts)
         rows = self.number(distinct)[index]
         # A sentence ends at a stop, or where a line ends.
         stop = np.isin(buf[ends - 1], np.frombuffer(b".!?", np.uint8))
@@ -168,11 +193,11 @@ class Model:
         first = np.concatenate([[True], stop[:-1]])
         first[word_off[:-1][np.diff(word_off) > 0]] = True
         sentence = np.cumsum(first) - 1
-        text = np.repeat(np.arange(len(off) - 1), np.diff(word_off))
         found = np.flatnonzero(rows)
         kernel, owner = self._features(rows[found]), sentence[found]
-        extra, extra_owner = self._spelt(distinct, index, text, sentence)
-        if len(extra_owner):
+        spelt, at = _spelt(distinct, index, text)
+        if spelt:
+            extra, extra_owner = self.kernel(spelt), sentence[at]
             kernel, owner = np.concatenate([kernel, extra]), np.concatenate([owner, extra_owner])
             order = np.argsort(owner, kind="stable")
             kernel, owner = kernel[order], owner[order]
@@ -186,20 +211,6 @@ class Model:
             self.rows = [np.concatenate(self.rows)]
         return self.rows[0][rows]
 
-    def _spelt(self, distinct: list[str], index: np.ndarray, text: np.ndarray, sentence: np.ndarray):
-        """Kernels of words spelt out in single letters, with the sentence of the first."""
-        single = [letters(w) if len(w) <= 3 else "" for w in distinct]
-        lone = np.array([len(x) == 1 for x in single], bool)[index]
-        edge = np.diff(np.concatenate([[0], lone.view(np.int8), [0]]))
-        runs = [(a, b) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()) if b - a >= SPELT]
-        words, owner = [], []
-        for a, b in runs:
-            for lo, hi in _within(text, a, b):
-                if hi - lo >= SPELT:
-                    words.append("".join(single[index[i]] for i in range(lo, hi)))
-                    owner.append(sentence[lo])
-        return (self.kernel(words), np.array(owner, np.int64)) if words else (np.zeros((0, len(self.landmarks)), np.float32), np.zeros(0, np.int64))
-
     def decide(self, texts: pa.Array) -> np.ndarray:
         """The machine's value of each text's worst sentence."""
         kernel, text = self.sentences(texts)
@@ -219,6 +230,35 @@ class Model:
         self.__init__(**state)
 
 
+def _words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct raw words, each word's number among them, and each word's text."""
+    buf, off = tx.buffers(texts)
+    starts, ends, word_off = tx.words(buf, off, tx.SPACE)
+    if len(starts) == 0:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum(ends - starts)])
+    flat = buf[~tx.SPACE[buf]]  # the words side by side
+    coded = pa.Array.from_buffers(
+        pa.string(), len(starts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]
+    ).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.repeat(np.arange(len(off) - 1), np.diff(word_off))
+
+
+def _spelt(distinct: list[str], index: np.ndarray, text: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Words spelt out in single letters, and the first word of each."""
+    single = [letters(w) if len(w) <= 3 else "" for w in distinct]
+    lone = np.array([len(x) == 1 for x in single], bool)[index]
+    edge = np.diff(np.concatenate([[0], lone.view(np.int8), [0]]))
+    words, owner = [], []
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        if b - a >= SPELT:
+            for lo, hi in _within(text, a, b):
+                if hi - lo >= SPELT:
+                    words.append("".join(single[index[i]] for i in range(lo, hi)))
+                    owner.append(lo)
+    return words, np.array(owner, np.int64)
+
+
 def _within(text: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
     """The part a..b of the words, cut where a text ends."""
     while a < b:
@@ -227,69 +267,145 @@ def _within(text: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
         a = end
 
 
-def choose_landmarks(texts: list[str], labels: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """Parts of words that stand in many toxic documents and hardly in clean ones.
+class Bags:
+    """The distinct words, in letters and of at most ``WIDTH``, of every training document."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        doc, word = [], []
+        for i in range(0, len(texts), 64):
+            part = pa.array(texts[i : i + 64], pa.string())
+            distinct, index, text = _words(part)
+            if len(index) == 0:
+                continue
+            spelt, owner = _spelt(distinct, index, text)
+            plain = [pieces(letters(w)) for w in distinct] + [pieces(w) for w in spelt]
+            size = np.array([len(x) for x in plain])
+            first = np.concatenate([[0], np.cumsum(size)])
+            codes = np.array([number.setdefault(p, len(number)) for x in plain for p in x], np.int64)
+            pair = np.unique(np.concatenate([text * len(plain) + index, text[owner] * len(plain) + len(distinct) + np.arange(len(owner))]))
+            of, which = pair // len(plain), pair % len(plain)
+            reps = size[which]
+            at = np.repeat(first[which] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
+            doc.append(np.repeat(of, reps) + i)
+            word.append(codes[at])
+        self.words = list(number)
+        none = np.zeros(0, np.int64)
+        pair = np.unique((np.concatenate(doc) if doc else none) * max(1, len(number)) + (np.concatenate(word) if word else none))
+        self.doc, self.word = pair // max(1, len(number)), pair % max(1, len(number))
+
+
+def _part_hashes(grid: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n letters (columns) of every word (rows)."""
+    out = np.full((len(grid), grid.shape[1] - n + 1), n, np.uint64)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + grid[:, j : j + out.shape[1]].astype(np.uint64)
+    return tx.mix(out)
+
+
+def choose_landmarks(bags: Bags, labels: np.ndarray, most: int = LANDMARKS) -> list[str]:
+    """Parts of words that stand in toxic documents and hardly in clean ones.
 
     One after another, the part in most toxic documents (of those in nearly as
-    many, the longest) is chosen; words that hold it then count no more.
+    many, the longest) is chosen; words that hold it then count no more. Where no
+    part tells, the words that are in most toxic documents are taken.
     """
-    docs_of: dict[str, list[int]] = defaultdict(list)
-    for i, t in enumerate(texts):
-        for w in {x for raw in set(t.split()) for x in pieces(letters(raw))}:
-            docs_of[w].append(i)
     is_toxic = labels == 1
     n1, n0 = max(1, int(is_toxic.sum())), max(1, int((~is_toxic).sum()))
-    share = lambda docs: (sum(1 for i in docs if is_toxic[i]), sum(1 for i in docs if not is_toxic[i]))
+    t = np.bincount(bags.word[is_toxic[bags.doc]], minlength=len(bags.words))
+    c = np.bincount(bags.word[~is_toxic[bags.doc]], minlength=len(bags.words))
+    order = np.argsort(bags.word, kind="stable")
+    at = np.searchsorted(bags.word[order], np.arange(len(bags.words) + 1))
+    docs = bags.doc[order]
+
+    def found_in(words: np.ndarray) -> tuple[int, int]:
+        of = np.unique(np.concatenate([docs[at[w] : at[w + 1]] for w in words])) if len(words) else np.zeros(0, np.int64)
+        toxic = int(is_toxic[of].sum())
+        return toxic, len(of) - toxic
+
+    floor = max(SUPPORT, n1 * FLOOR // 1000)
 
-    def tells(docs) -> bool:
-        toxic, clean = share(docs)
-        if toxic < max(3, n1 // 40) or toxic / n1 <= 20 * clean / n0:
+    def tells(toxic: int, clean: int) -> bool:
+        if toxic < floor or toxic / n1 <= 20 * clean / n0:
             return False
         both = (toxic + clean) / (n1 + n0)
         return toxic * math.log(toxic / (both * n1)) + (clean * math.log(clean / (both * n0)) if clean else 0) >= SURE
 
-    parts = lambda w: {w[a : a + n] for n in range(SHORTEST, LONGEST + 1) for a in range(len(w) - n + 1)}
-    telling = {w: x[0] for w, docs in docs_of.items() if len(w) >= SHORTEST and (x := share(docs))[0] / n1 > 8 * x[1] / n0}
-    count: Counter = Counter()
-    for w, toxic in telling.items():
-        count.update(dict.fromkeys(parts(w), toxic))
-    # No part is in more toxic documents than the words that hold it, together.
-    wanted = {p for p, c in count.items() if c >= max(3, n1 // 40)}
-    wanted |= {w for w in telling if len(w) <= LONGEST + 3 and tells(docs_of[w])}
-    holders: dict[str, list[str]] = defaultdict(list)
-    for w in docs_of:
-        for p in ({w} | parts(w)) & wanted:
-            holders[p].append(w)
-    union = lambda words: {i for w in words for i in docs_of[w]}
-    ranked = {p: words for p, words in holders.items() if tells(union(words))}
+    grid, _ = codes_of(bags.words)
+    size = (grid > 0).sum(axis=1)
+    telling = np.flatnonzero((t / n1 > 8 * c / n0) & (size >= SHORTEST))
+    holders: dict[str, np.ndarray] = {}
+    for n in range(SHORTEST, LONGEST + 1):
+        whole = lambda rows: (np.arange(grid.shape[1] - n + 1)[None, :] <= (size[rows] - n)[:, None])  # noqa: E731, B023
+        mine = telling[size[telling] >= n]
+        hashes, ok = _part_hashes(grid[mine], n), whole(mine)
+        value, back = np.unique(hashes[ok], return_inverse=True)
+        # No part is in more toxic documents than the words that hold it, together.
+        many = np.bincount(back, weights=np.repeat(t[mine], ok.sum(axis=1)), minlength=len(value)) >= floor
+        wanted = value[many]
+        if not len(wanted):
+            continue
+        hits: dict[int, list] = {}
+        for a in range(0, len(grid), 50_000):
+            rows = np.arange(a, min(a + 50_000, len(grid)))
+            hashes = _part_hashes(grid[rows], n)
+            place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+            r, j = np.nonzero((wanted[place] == hashes) & whole(rows))
+            for key, row, col in zip(place[r, j].tolist(), rows[r].tolist(), j.tolist()):
+                hits.setdefault(key, []).append((row, col))
+        for pairs in hits.values():
+            row, col = pairs[0]
+            holders[bags.words[row][col : col + n]] = np.unique([x for x, _ in pairs])
+    for w in telling[(size[telling] > LONGEST) & (size[telling] <= LONGEST + 3)]:
+        if tells(int(t[w]), int(c[w])):
+            holders.setdefault(bags.words[w], np.array([w]))
+    share = {p: found_in(words) for p, words in holders.items()}
+    share = {p: x for p, x in share.items() if tells(*x)}
     chosen: list[str] = []
-    while len(chosen) < most:
-        found = {p: share(d) for p, words in ranked.items() if tells(d := union(words))}
-        if not found:
-            break
-        value = {p: toxic - n1 / n0 * 4 * clean for p, (toxic, clean) in found.items()}
+    while share and len(chosen) < most:
+        value = {p: toxic - n1 / n0 * 4 * clean for p, (toxic, clean) in share.items()}
         top = max(value.values())
         best = max((p for p in value if value[p] >= 0.85 * top), key=lambda p: (len(p), value[p], p))
         chosen.append(best)
-        ranked = {p: [w for w in words if best not in w] for p, words in ranked.items() if p in found}
+        taken = np.array([w for w in holders[best] if best in bags.words[w]])
+        for p in list(share):
+            left = np.setdiff1d(holders[p], taken, assume_unique=True)
+            if len(left) < len(holders[p]):
+                holders[p] = left
+                share[p] = found_in(left)
+                if not tells(*share[p]):
+                    del share[p]
+    if not chosen:
+        for w in np.lexsort((np.arange(len(t)), c / n0 - t / n1)):
+            if size[w] >= SHORTEST and t[w] and len(chosen) < min(most, 16):
+                chosen.append(bags.words[w][:WIDTH])
     return chosen
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 3000, c: float = 1e5) -> tuple[np.ndarray, float]:
-    """A linear machine by subgradients of the weighted hinge loss; y is -1 or 1."""
-    weight = weight / weight.sum()
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1e5, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """A linear machine with the squared hinge loss, by Newton steps on the rows inside the margin."""
+    weight = c * weight / weight.sum()
     x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    ridge = np.append(np.ones(x.shape[1]), 1e-6)
     w = np.zeros(x1.shape[1])
-    mean = np.zeros_like(w)
-    reg = np.append(np.full(x.shape[1], 1 / c), 0.0)
-    for t in range(1, rounds + 1):
+
+    def loss(at: np.ndarray) -> float:
+        return float((ridge * at * at).sum() / 2 + (weight * np.maximum(0, 1 - y * (x1 @ at)) ** 2).sum() / 2)
+
+    now = loss(w)
+    for _ in range(rounds):
         inside = y * (x1 @ w) < 1
-        grad = reg * w - x1[inside].T @ (weight[inside] * y[inside])
-        w = w - 30.0 / math.sqrt(t) * grad
-        if t > rounds // 2:
-            mean += w
-    mean /= rounds - rounds // 2
-    return mean[:-1], float(mean[-1])
+        xi, wi = x1[inside], weight[inside]
+        grad = ridge * w - xi.T @ (wi * (y[inside] - xi @ w))
+        hess = np.diag(ridge) + (xi * wi[:, None]).T @ xi
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-4 and loss(w - size * step) > now:
+            size /= 2
+        new = loss(w - size * step)
+        if size <= 1e-4 or now - new < 1e-9 * max(1.0, now):
+            break
+        w, now = w - size * step, new
+    return w[:-1], float(w[-1])
 
 
 def _logistic(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -322,15 +438,19 @@ def train(texts: list[str], labels: np.ndarray, most: int = LANDMARKS) -> Model:
     """The model of a sample held in memory."""
     if len(texts) == 0 or len(set(labels.tolist())) < 2:
         return Model([], constant=float(labels.mean()) if len(labels) else 0.0)
-    marks = choose_landmarks(texts, labels, most)
-    if not marks:
+    marks = choose_landmarks(Bags(texts), labels, most)
+    if not marks:  # no word of four letters in any toxic text
         return Model([], constant=float(labels.mean()))
     model = Model(marks)
-    kernel, text = model.sentences(pa.array(texts, pa.string()))
-    gram = model.kernel(marks).astype(np.float64)
-    gram = (gram + gram.T) / 2
-    values, vectors = np.linalg.eigh(gram)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T  # Nystroem's K(L, L)^-1/2
+    found, at = [], 0
+    for part in tx.slices(iter([pa.record_batch([pa.array(texts, pa.string())], ["text"])]), "text", 1 << 20):
+        k, t = model.sentences(part.column("text"))
+        found.append((k, t + at))
+        at += part.num_rows
+    kernel, text = (np.concatenate(x) for x in zip(*found))
+    values, vectors = np.linalg.eigh(model.gram())
+    # Nystroem's K(L, L)^-1/2; directions that the landmarks hardly span are damped.
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
     toxic = labels[text] == 1
     clean = np.concatenate([kernel[~toxic], np.zeros((1, len(marks)), np.float32)])
     bad, owner = kernel[toxic], text[toxic]
@@ -340,16 +460,20 @@ def train(texts: list[str], labels: np.ndarray, most: int = LANDMARKS) -> Model:
         order = np.lexsort((-value, owner))
         first = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
         first = first[value[first] > (0.5 if _ == 0 else -np.inf)]
-        worst = bad[first]
-        inserted = np.stack([model.kernel([_inserted(marks[int(k.argmax())], i)])[0] for i, k in enumerate(worst[:400])]) if len(worst) else worst
+        # With them, the sentences that hold a landmark outright, whatever else the document has.
+        worst = bad[np.union1d(first, np.flatnonzero(bad.max(axis=1) >= 0.99))] if len(bad) else bad
+        inserted = model.kernel([_inserted(marks[int(k.argmax())], i) for i, k in enumerate(worst)])
         x = np.concatenate([clean, worst, inserted])
         y = np.concatenate([-np.ones(len(clean)), np.ones(len(worst) + len(inserted))])
         # The inserted copies are no rows of the sample, and weigh less; one row stands for all sentences without a landmark.
-        weight = np.concatenate([np.ones(len(clean) - 1), [len(labels)], np.ones(len(worst)), np.full(len(inserted), 0.2)])
+        weight = np.concatenate([np.ones(len(clean) - 1), [len(labels)], np.ones(len(worst)), np.full(len(inserted), 0.5)])
         w, bias = _svm(x @ root, y, weight)
         model.weights, model.bias = root @ w, bias
         value = bad @ model.weights + bias
-    model.slope, model.shift = _logistic(model.decide(pa.array(texts, pa.string())), labels)
+    decided = np.full(len(texts), model.bias)
+    np.maximum.at(decided, text, kernel @ model.weights + model.bias)
+    model.slope, model.shift = _logistic(decided, labels)
+    model.table.clear()
     return model
 
 
@@ -359,16 +483,35 @@ def _inserted(word: str, i: int) -> str:
     return word[:at] + "abcdefghijklmnopqrstuvwxyz"[i * 7 % 26] + word[at:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, folds: int = 5) -> Model:
-    """Trains on at most ``sample`` rows of each label, whose id's crc32 is no multiple of ``folds``."""
-    key = F.col(id_col).cast("string")
-    rows = labels.select(id_col, F.col(label_col).alias("__y")).where(F.col("__y").isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(key.cast("binary")) % folds != 0))
-    rows = rows.dropDuplicates([id_col]).withColumn("__h", F.xxhash64(id_col))
-    some = rows.where("__y = 0").orderBy("__h", id_col).limit(sample).unionAll(rows.where("__y = 1").orderBy("__h", id_col).limit(sample))
-    # At most 2 * sample ids: small enough to be sent to all tasks.
-    found = docs.select(id_col, F.col(text_col).alias("__t")).join(F.broadcast(some), id_col).select("__t", "__y", "__h").collect()
-    found.sort(key=lambda r: (r["__h"], r["__t"] or ""))
-    return train([r["__t"] or "" for r in found], np.array([r["__y"] for r in found], np.int64))
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, folds: int = 5,
+) -> Model:
+    """Trains on at most ``sample`` rows of each label, whose id's crc32 is no multiple of ``folds``.
+
+    Of these, in the order of their hashes, as many are read as ``sample_bytes``
+    of text allow (one of each label at least); so what the driver holds is bounded.
+    """
+    rows = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where(
+        F.col("__y").isin(0, 1) & F.col("__id").isNotNull()
+    )
+    rows = rows.where(F.crc32(F.col("__id").cast("string").cast("binary")) % folds != 0)
+    rows = rows.groupBy("__id").agg(F.min("__y").alias("__y")).withColumn("__h", F.xxhash64("__id"))
+    some = rows.where("__y = 0").orderBy("__h", "__id").limit(sample).unionAll(rows.where("__y = 1").orderBy("__h", "__id").limit(sample))
+    # At most 2 * sample ids: small enough to be sent to all tasks. Their sizes come first, then the texts that fit.
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__t"))
+    sizes = texts.join(F.broadcast(some), "__id").groupBy("__id", "__y", "__h").agg(F.max(F.octet_length("__t")).alias("n")).collect()
+    chosen, left = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
+    for r in sorted(sizes, key=lambda r: (r["__h"], r["__id"])):
+        if left[r["__y"]] > 0 and (r["n"] <= left[r["__y"]] or left[r["__y"]] == sample_bytes // 2):
+            chosen.append((r["__id"], r["__y"], r["__h"]))
+            left[r["__y"]] -= r["n"]
+    if not chosen:
+        return train([], np.zeros(0, np.int64))
+    ids = docs.sparkSession.createDataFrame(chosen, rows.select("__id", "__y", "__h").schema)
+    found = texts.join(F.broadcast(ids), "__id").groupBy("__id", "__y", "__h").agg(F.min("__t").alias("__t")).collect()
+    found.sort(key=lambda r: (r["__h"], r["__id"]))
+    return train([r["__t"] for r in found], np.array([r["__y"] for r in found], np.int64))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -377,7 +520,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.slices(batches, text_col):
+        for batch in tx.slices(batches, text_col, 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(shared.value.score(batch.column(text_col)), pa.float64())], names=names + [score_col])
 
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in names] + [T.StructField(score_col, T.DoubleType())]))
