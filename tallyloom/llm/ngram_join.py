@@ -14,11 +14,16 @@ but D are equal on either side: with D + l parts each, in the order of the parts
 two linked sets share l of them or more (the pigeonhole, as a prefix filter).
 Keys shared by more than ``hot`` sets are hot and give no pairs; a link can only
 be lost if all parts shared are hot, thus only between two sets that each have l
-hot keys or more. Those are compared in the end, see below.
+hot keys or more. Those are compared in the end, see below. A pair is a candidate
+if its sizes allow a link and the keys that it shares, with the hot keys that both
+have at most, are l or more.
 
 Verifying. Candidate pairs are first held against the Hamming distance of real
 sketches of 2n bits or more (folded to the shorter's length), then the sets are
-compared themselves. As components are asked for, first only one pair of each
+compared themselves, made again from the two texts. The texts of all classes that
+any candidate pair or hot key names are written once, one of each class, and all
+rounds read them there; the joins on them are merge joins at every size, so that
+what is shuffled follows the input. As components are asked for, first only one pair of each
 set is compared, that with its least partner; then the pairs that join two
 components. Sets with many hot keys are treated alike: each is compared to the
 hot key's least set; where a key's sets are still in several components, first
@@ -31,7 +36,8 @@ nothing. All tables are written to the shared folder; the driver sees counts onl
 Defined results: null, empty and wordless texts have the empty set, which links
 with nothing; fewer than ``n`` words are one shingle of all of them; rows that
 repeat an id are one node; a null id gets the least id of its component, if any;
-an empty table gives an empty one. Other columns are not carried.
+an empty table gives an empty one. Ids must be whole numbers (others raise an error).
+Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -56,6 +62,7 @@ SMALL_BAND = 64
 
 DIGEST = "key long, id long, n int, set_id long, w0 int, w1 int, sketch binary"
 ENTRIES = "bucket int, codes binary, owners binary, sets binary, next binary"
+#: kind 0: a pair and how many keys it shares; 1: a hot key, a set, and whether in the next band.
 FOUND = "kind int, a long, b long, next int"
 
 
@@ -197,7 +204,7 @@ class Bucket:
         self.kept = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
     def take(self, codes: np.ndarray, sets: np.ndarray, after: np.ndarray):
-        """(a, b) of new pairs; (key, set, next) of memberships of hot keys."""
+        """(a, b, keys shared) of new pairs; (key, set, next) of memberships of hot keys."""
         old = len(self.kept[0])
         codes, sets, after = (np.concatenate([x, y]) for x, y in zip(self.kept, (codes, sets, after)))
         fresh = np.arange(len(codes)) >= old
@@ -232,7 +239,11 @@ class Bucket:
         keep = nth <= self.hot
         self.kept = (codes[keep], sets[keep], after[keep])
         key = codes[at].astype(np.int64) | np.int64(self.number) << np.int64(32)
-        pairs = np.unique(np.stack([np.concatenate(pairs_a), np.concatenate(pairs_b)], axis=1), axis=0) if sum(map(len, pairs_a)) else np.zeros((0, 2), np.int64)
+        one, two = (np.concatenate(x).astype(np.int64) for x in (pairs_a, pairs_b))
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        begin = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else np.zeros(0, np.int64)
+        pairs = np.stack([one[begin], two[begin], np.diff(np.append(begin, len(one)))], axis=1)
         return pairs, (key, sets[at], after[at])
 
 
@@ -248,7 +259,7 @@ def _search(hot: int, chunk: int):
             waiting, size = [], 0
             for a in range(0, len(pairs), 65536):
                 part = pairs[a : a + 65536]
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(part)), pa.int32()), "a": pa.array(part[:, 0]), "b": pa.array(part[:, 1]), "next": pa.array(np.zeros(len(part)), pa.int32())})
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(part)), pa.int32()), "a": pa.array(part[:, 0]), "b": pa.array(part[:, 1]), "next": pa.array(part[:, 2], pa.int32())})
             for a in range(0, len(key), 65536):
                 z = slice(a, a + 65536)
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(len(key[z])), pa.int32()), "a": pa.array(key[z]), "b": pa.array(sets[z]), "next": pa.array(after[z], pa.int32())})
@@ -294,18 +305,21 @@ def _near(percent: int):
     return run
 
 
-def _equal_enough(percent: int):
-    """Keeps the pairs whose sets are similar enough."""
+def _equal_enough(n: int, percent: int):
+    """Keeps the pairs whose texts have similar enough sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.slices(batches, "ta"):
+            m = batch.num_rows
+            flat, off = shingle_sets(pa.concat_arrays([batch.column("ta"), batch.column("tb")]), n)
             ok = []
-            for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+            for i in range(m):
+                both = np.concatenate([flat[off[i] : off[i + 1]], flat[off[m + i] : off[m + i + 1]]])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+            kept = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
@@ -329,13 +343,17 @@ def _across(percent: int, nearest: bool):
             folded.append(s)
         order = np.argsort(n, kind="stable")
         sets, comp, n, grid = sets[order], comp[order], n[order], np.stack(folded)[order]
-        lists = table.column("keys").combine_chunks()
-        keys, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        early = keys < key[0].as_py()
-        places, column = np.unique(keys[early], return_inverse=True)
-        earlier = np.zeros((len(n), len(places)), np.float32)
-        earlier[np.repeat(np.arange(len(n)), np.diff(at))[early], column] = 1
-        earlier = earlier[order]
+        if not nearest:
+            lists = table.column("keys").combine_chunks()
+            keys, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            early = keys < key[0].as_py()
+            places, column = np.unique(keys[early], return_inverse=True)
+            place = np.argsort(order)  # of the rows as they came
+            owner = place[np.repeat(np.arange(len(n)), np.diff(at))[early]]
+            by_row = np.argsort(owner, kind="stable")
+            owner, column = owner[by_row], column[by_row]
+            row_at = np.searchsorted(owner, np.arange(len(n) + 1))
+
         out_a, out_b = [], []
         step = max(1, (1 << 21) // max(1, grid.size))
         for a in range(0, len(n), step):
@@ -349,9 +367,15 @@ def _across(percent: int, nearest: bool):
                 i = np.flatnonzero(near.any(axis=1))
                 j = np.where(near[i], apart[i], 1 << 60).argmin(axis=1) if len(i) else i
             else:
-                near &= earlier[z] @ earlier[rest].T == 0
                 i, j = np.nonzero(near)
                 i, j = i[i < j], j[i < j]
+                if len(i) and len(places):
+                    rows, back = np.unique(np.concatenate([a + i, rest.start + j]), return_inverse=True)
+                    told = np.zeros(len(i), bool)
+                    sets_of = [set(column[row_at[r] : row_at[r + 1]].tolist()) for r in rows.tolist()]
+                    for k, (x, y) in enumerate(zip(back[: len(i)].tolist(), back[len(i) :].tolist())):
+                        told[k] = not sets_of[x].isdisjoint(sets_of[y])
+                    i, j = i[~told], j[~told]
             x, y = sets[a + i], sets[rest.start + j]
             out_a.append(np.minimum(x, y))
             out_b.append(np.maximum(x, y))
@@ -373,35 +397,40 @@ class Join:
         self.docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("key"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
         self.bits = max(1, (partitions(self.spark) - 1).bit_length())
 
-    def _sets_of(self, wanted: DataFrame) -> DataFrame:
-        """set_id and elements of the wanted classes, each from its least row."""
-        rows = self.docs.select("key", "text").join(wanted.select("key").distinct(), "key")
+    def _texts_of(self, wanted: DataFrame) -> DataFrame:
+        """set_id and text of the wanted classes (set_id, key), each from its least row."""
+        # Rows that repeat an id may have other texts: only those of the class count.
+        rows = self.docs.select("key", "text").hint("merge").join(wanted.select("key", F.col("set_id").alias("wanted")), "key")
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in tx.slices(batches, "text"):
-                flat, off = shingle_sets(batch.column("text"), n)
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(set_ids(flat, off)), tx.packed(flat, off)], names=["key", "set_id", "x"])
-
-        found = rows.mapInArrow(run, "key long, set_id long, x binary")
-        return found.join(wanted.select("key", "set_id"), ["key", "set_id"]).dropDuplicates(["set_id"]).select("set_id", "x")
-
-    def _near(self, pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda x: self.sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        # Linked sets' sizes are within the threshold of each other, which spares the second join.
-        rows = pairs.join(side("a"), "a").join(side("b"), "b")
-        rows = rows.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
-        return self.scratch.keep(rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(self.percent), "a long, b long"), name)
+                ids = set_ids(*shingle_sets(batch.column("text"), n))
+                mine = pa.array(ids == batch.column("wanted").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(mine) for c in ("wanted", "text")], names=["set_id", "text"])
+
+        return rows.select("wanted", "text").mapInArrow(run, "set_id long, text string").dropDuplicates(["set_id"])
+
+    def _near(self, found: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+        """Pairs that sizes, shared keys and sketches allow."""
+        # The keys that linked sets share at least: of a set that is not in the next band too, w1 says nothing.
+        least = F.when(F.col("w1") > 0, F.least("w0", "w1")).otherwise(F.col("w0"))
+        counts = hot.groupBy("set_id").agg(F.count("*").cast("int").alias("h"))
+        sizes = self.sets.select("set_id", "n", least.alias("w")).join(counts, "set_id", "left").fillna(0, ["h"])
+        side = lambda df, x, *c: df.select(F.col("set_id").alias(x), *[F.col(k).alias(k + x) for k in c])
+        pairs = found.groupBy("a", "b").agg(F.sum("next").alias("c"))
+        for x in "ab":
+            pairs = pairs.join(side(sizes, x, "n", "w", "h"), x)
+        pairs = pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (F.col("c") + F.least("ha", "hb") >= F.least("wa", "wb")))
+        pairs = pairs.select("a", "b", "na", "nb")
+        for x in "ab":
+            pairs = pairs.join(side(self.sets.select("set_id", F.col("sketch").alias("s")), x, "s"), x)
+        return self.scratch.keep(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(self.percent), "a long, b long"), name)
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select(F.col("b").alias("set_id"))).distinct()
-        # Written first, so that its size is known: where few sets are wanted, Spark sends them to the texts and shuffles none.
-        wanted = self.scratch.keep(self.sets.select("set_id", "key").join(nodes, "set_id"), f"{name}-wanted")
-        x = self.scratch.keep(self._sets_of(wanted), f"{name}-sets")
-        rows = pairs.join(x.select(F.col("set_id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("set_id").alias("b"), F.col("x").alias("xb")), "b")
-        out = self.scratch.keep(rows.select("a", "b", "xa", "xb").mapInArrow(_equal_enough(self.percent), "a long, b long"), name)
-        self.scratch.drop(f"{name}-sets", f"{name}-wanted")
-        return out
+        text = lambda x: self.texts.select(F.col("set_id").alias(x), F.col("text").alias(f"t{x}")).hint("merge")
+        rows = pairs.join(text("a"), "a").join(text("b"), "b")
+        return self.scratch.keep(rows.select("a", "b", "ta", "tb").mapInArrow(_equal_enough(self.n, self.percent), "a long, b long"), name)
 
     @staticmethod
     def _labelled(rows: DataFrame, nodes: DataFrame, column: str, name: str) -> DataFrame:
@@ -417,7 +446,17 @@ class Join:
         entries = self.docs.select("text").mapInArrow(_entries(self.n, self.percent, self.bits), ENTRIES)
         found = s.keep(entries.repartition(partitions(self.spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_search(self.hot, self.chunk), FOUND), "found")
 
-        near = self._near(found.where("kind = 0").select("a", "b").distinct(), "near")
+        hot = found.where("kind = 1").select(F.col("a").alias("hot"), F.col("b").alias("set_id"), "next")
+        near = self._near(found.where("kind = 0"), hot, "near")
+        # Sets with so many hot keys that a link may have no other.
+        counts = hot.groupBy("set_id", "next").agg(F.count("*").alias("c")).join(self.sets.select("set_id", "w0", "w1"), "set_id")
+        weak = counts.where(F.col("c") >= F.when(F.col("next") == 0, F.col("w0")).otherwise(F.col("w1"))).select("set_id", "next")
+        hot = s.keep(hot.join(weak, ["set_id", "next"], "left_semi").select("hot", "set_id"), "hot")
+        s.drop("found")
+        named = near.select(F.col("a").alias("set_id")).unionAll(near.select(F.col("b").alias("set_id"))).unionAll(hot.select("set_id"))
+        wanted = self.sets.select("set_id", "key").join(named.distinct(), "set_id", "left_semi")
+        self.texts = s.keep(self._texts_of(wanted), "texts")
+
         # One pair for each set, to its least partner; then what still joins two components.
         least = near.groupBy("b").agg(F.min("a").alias("a")).unionAll(near.groupBy("a").agg(F.min("b").alias("b")).select("b", "a")).distinct()
         edges = self._verified(least.select("a", "b"), "first")
@@ -428,11 +467,6 @@ class Join:
             edges = s.keep(edges.unionAll(self._verified(rest, "second")), "edges-2")
             nodes = components(edges, s, "second-components")
 
-        # Sets with so many hot keys that a link may have no other.
-        hot = found.where("kind = 1").select(F.col("a").alias("hot"), F.col("b").alias("set_id"), "next")
-        counts = hot.groupBy("set_id", "next").agg(F.count("*").alias("c")).join(self.sets.select("set_id", "w0", "w1"), "set_id")
-        weak = counts.where(F.col("c") >= F.when(F.col("next") == 0, F.col("w0")).otherwise(F.col("w1"))).select("set_id", "next")
-        hot = s.keep(hot.join(weak, ["set_id", "next"], "left_semi").select("hot", "set_id"), "hot")
         done = least.select("a", "b")
         for k, nearest in enumerate((True, False)):
             # First each set's nearest one, which joins most components; then all pairs that are still apart.
@@ -441,15 +475,17 @@ class Join:
             open_ = s.keep(member.join(split, "hot"), f"open-{k}")
             if open_.isEmpty():
                 break
-            keys = open_.groupBy("set_id").agg(F.sort_array(F.collect_set("hot")).alias("keys"))  # at most a set's own keys
-            rows = open_.join(self.sets.select("set_id", "n", "sketch").join(keys, "set_id"), "set_id")
+            sets = self.sets.select("set_id", "n", "sketch")
+            if not nearest:  # a pair is told once, at the least hot key that both have; these are at most a set's own keys
+                sets = sets.join(open_.groupBy("set_id").agg(F.sort_array(F.collect_set("hot")).alias("keys")), "set_id")
+            rows = open_.join(sets, "set_id")
             pairs = rows.groupBy("hot").applyInArrow(_across(self.percent, nearest), "a long, b long").distinct()
             pairs = s.keep(pairs.join(done, ["a", "b"], "left_anti"), f"across-{k}")
             if not pairs.isEmpty():
                 edges = s.keep(edges.unionAll(self._verified(pairs, f"third-{k}")), f"edges-3-{k}")
                 nodes = components(edges, s, f"third-components-{k}")
                 done = done.unionAll(pairs)
-        s.drop("found", "near", "hot", "open-0", "open-1")
+        s.drop("near", "rest", "hot", "open-0", "open-1", "across-0", "across-1", "texts", "sets")
         return edges, nodes
 
     def result(self) -> DataFrame:

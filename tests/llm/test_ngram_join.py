@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tallyloom.llm import components as components_module
 from tallyloom.llm import ngram_join as nj
 from tallyloom.llm.components import components
 from tallyloom.llm.scratch import Scratch
@@ -62,7 +63,9 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed,hot,chunk,percent,n", [(1, 32, 1 << 20, 75, 5), (2, 2, 1 << 20, 75, 5), (3, 1, 50, 75, 5), (4, 3, 200, 60, 2)])
-def test_components_equal_brute_force(spark, seed, hot, chunk, percent, n):
+def test_components_equal_brute_force(spark, seed, hot, chunk, percent, n, monkeypatch):
+    if seed == 2:
+        monkeypatch.setattr(components_module, "FEW", 3)
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "own") for r in rows], TYPES).repartition(4)
     got = nj.Join(df, n=n, percent=percent, hot=hot, chunk=chunk).result().collect()
@@ -103,12 +106,14 @@ def test_a_bucket_taken_in_pieces_finds_the_same():
         for a in range(0, 600, step):
             z = slice(a, a + step)
             p, (key, s, _) = bucket.take(codes[z], sets[z], np.zeros(len(codes[z]), np.uint8))
-            pairs |= {tuple(x) for x in p.tolist()}
+            pairs |= {tuple(x[:2]) for x in p.tolist()}
             members += zip(key.tolist(), s.tolist())
         assert warm <= pairs and hot <= set(members)
 
 
-def test_long_chains_are_one_component(spark):
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_long_chains_are_one_component(spark, few, monkeypatch):
+    monkeypatch.setattr(components_module, "FEW", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(edges, Scratch(spark, "t"), "c").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
