@@ -6,9 +6,12 @@ share a signal meet by equi-joins. A pair without one needs a name ratio of
 threshold / 0.8, which beyond 0.9 leaves few ways: (1) few inserts and deletes,
 so that one of some even pieces of one name stands nearly in place in the other;
 (2) the same for the names' sorted tokens; (3) one name's tokens are all in the
-other's, so they meet at the rarest of them; (4) very long names that share a
-token. Each is an equi-join. At thresholds of 0.72 and less any pair may match,
-and pairs are formed by a nested loop over the smaller side.
+other's, so they meet at the rarest of them; (4) very long names whose tokens are
+nearly all shared, met at one of the few rarest. Each is an equi-join. At
+thresholds of 0.72 and less any pair may match, and pairs are formed by a nested
+loop over the smaller side, up to ``NESTED`` pairs. Where a side is small enough to
+be sent to all tasks, letters are counted instead (``name_letters``): the four ways
+are for sides beyond that.
 
 Invoices and payments: pairs must agree on exact values under a resolved parent,
 so counts by these values settle all outcomes and pairs are never formed.
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.clean import normal_email, normal_phone
 from ..functions.similarity import name_similarity
 from ..schemas import SEQ
+from .name_letters import near_by_letters
 from .validate import as_json
 
 NAME, EMAIL, PHONE = 0.8, 0.15, 0.05
@@ -33,6 +37,16 @@ THRESHOLD = 0.75
 #: Name ratio up to which partial matches count, so that nothing can be pruned.
 PARTIAL = 0.9
 TOKEN_SCALE = 0.95
+#: Pairs that a nested loop may form; beyond, a threshold that prunes nothing is refused.
+NESTED = 4_000_000_000
+#: Names (some hundred bytes each) of the smaller side that may be sent to all tasks, to be held against the letters of the others'.
+SIDE = 100_000
+#: Pairs that are all scored, as looking for candidates takes longer.
+FEW = 100_000
+#: Classes of letters whose counts bound a ratio.
+BAG = 32
+#: White space beyond ASCII, at which names are cut in tokens too. Fixed values.
+OTHER_SPACE = r"[\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def canonical_id(*parts: Column) -> Column:
@@ -106,34 +120,81 @@ def _within_tokens(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.select("a", "b").unionAll(y.select("a", "b"))
 
 
+def _near_tokens(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs that share tokens and whose token ratio may be ``least``, where either name has tokens of its own.
+
+    A token of its own costs an edit at least, and a ratio r of lengths n and m
+    allows d = (1 - r)(n + m); so n + m >= 1 / (1 - r), and neither is shorter than
+    half of r / (1 - r), the lengths being within d of each other. Of a name's
+    tokens at most d(its length, the longest partner) are its own or, where only the
+    partner has many of its own, so few are the name's; either way one of the d + 1
+    rarest tokens of one name is in the other.
+    """
+    loss = 1 - least
+    shortest = math.floor(least / loss / 2 - 1e-9)
+    words = lambda df: df.where(F.length("s") >= shortest).select("id", F.length("s").alias("n"), F.explode(F.array_distinct(_tokens(F.col("s")))).alias("t"))
+    x, y = words(a), words(b)
+    count = x.select("t").unionAll(y.select("t")).groupBy("t").agg(F.count("*").alias("f"))
+    most = F.floor(F.col("n") * 2 * loss / least + 1e-9) + 1
+
+    def rare(df: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "t"))
+        return df.join(count, "t").withColumn("r", rank).where(F.col("r") <= most).select("id", "t")
+
+    one = rare(x).withColumnRenamed("id", "a").join(y.select(F.col("id").alias("b"), "t"), "t").select("a", "b")
+    return one.unionAll(x.select(F.col("id").alias("a"), "t").join(rare(y).withColumnRenamed("id", "b"), "t").select("a", "b"))
+
+
+def _slices(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def candidate_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """(a, b) keys of every pair that can reach the threshold; frames of id, s (name), email, phone."""
     pair = lambda key: a.where(F.col(key).isNotNull()).select(F.col("id").alias("a"), key).join(b.where(F.col(key).isNotNull()).select(F.col("id").alias("b"), key), key).select("a", "b")
     need = threshold / NAME
     if need <= PARTIAL + 1e-9:
+        pairs = a.count() * b.count()
+        if pairs > NESTED:
+            raise ValueError(f"a threshold of {threshold} leaves {pairs} pairs of names to compare; above {PARTIAL * NAME:g} few are")
         return a.select(F.col("id").alias("a")).crossJoin(b.select(F.col("id").alias("b")))
     ways = [pair("email"), pair("phone")]
-    if need <= 1 + 1e-9:
+    n, m = a.count(), b.count()
+    if need <= 1 + 1e-9 and min(n, m) <= SIDE and n * m <= NESTED:
+        # Letters tell nearly all pairs apart, at some nanoseconds each; no key does where names are made of few syllables.
+        need = min(need, 1.0) - 1e-9
+        ways.append(near_by_letters(a.repartition(_slices(a), "id"), b, need, TOKEN_SCALE) if m <= n else near_by_letters(b.repartition(_slices(b), "id"), a, need, TOKEN_SCALE).select(F.col("b").alias("a"), F.col("a").alias("b")))
+    elif need <= 1 + 1e-9:
         need = min(need, 1.0) - 1e-12
         ways.append(_near_strings(a, b, need))
         token = need / TOKEN_SCALE
         if token <= 1:
             ordered = lambda df: df.select("id", F.array_join(F.array_sort(_tokens(F.col("s"))), " ").alias("s"))
             ways += [_near_strings(ordered(a), ordered(b), token), _within_tokens(a, b)]
-            # Names with a token of their own on either side differ by one edit at least, which only long ones can bear.
-            long = math.ceil(1 / (1 - token)) // 3 if token < 1 else 1 << 30
-            words = lambda df: df.where(F.length("s") >= long).select("id", F.explode(F.array_distinct(_tokens(F.col("s")))).alias("t"))
-            ways.append(words(a).withColumnRenamed("id", "a").join(words(b).withColumnRenamed("id", "b"), "t").select("a", "b"))
+            if token < 1:
+                ways.append(_near_tokens(a, b, token))
     return reduce(DataFrame.unionAll, ways).distinct()
 
 
+def _with_letters(df: DataFrame) -> DataFrame:
+    """With ``bag`` (how many letters fall in each of ``BAG`` classes), ``solid`` (letters), ``gaps`` (white space), and of the tokens
+    ``tokens``, ``breaks`` (spaces between them) and ``again`` (whether one is repeated)."""
+    name = F.coalesce("s", F.lit(""))
+    solid = F.regexp_replace(name, r"\s", "")
+    marks = F.transform(F.filter(F.split(solid, ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(BAG)))
+    bag = F.transform(F.sequence(F.lit(0), F.lit(BAG - 1)), lambda k: F.size(F.filter("__marks", lambda c: c == k)))
+    rows = df.withColumns({"__marks": marks, "solid": F.length(solid), "tokens": _tokens(name)}).withColumn("bag", bag).drop("__marks")
+    count = F.size("tokens")
+    return rows.withColumns({"gaps": F.length(name) - F.col("solid"), "breaks": F.greatest(count - 1, F.lit(0)), "again": (count > F.size(F.array_distinct("tokens"))) | name.rlike(OTHER_SPACE)})
+
+
 def score_customers(erp: DataFrame, crm: DataFrame, threshold: float = THRESHOLD, pruned: bool = True) -> DataFrame:
     """erp_key, crm_key, score of the pairs at or above the threshold."""
     side = lambda df: df.select(F.col("business_key").alias("id"), F.col("full_name").alias("s"), normal_email(F.col("email")).alias("email"), normal_phone(F.col("phone")).alias("phone"))
     a, b = side(erp), side(crm)
-    pairs = candidate_pairs(a, b, threshold) if pruned else a.select(F.col("id").alias("a")).crossJoin(b.select(F.col("id").alias("b")))
-    x = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
-    y = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
+    few = pruned and a.count() * b.count() <= FEW
+    pairs = candidate_pairs(a, b, threshold) if pruned and not few else a.select(F.col("id").alias("a")).crossJoin(b.select(F.col("id").alias("b")))
+    x, y = (_with_letters(df).select(*[F.col(c).alias(f"{side_}_{c}") for c in [*df.columns, "bag", "solid", "gaps", "tokens", "breaks", "again"]]) for df, side_ in ((a, "a"), (b, "b")))
     rows = pairs.join(x, F.col("a") == F.col("a_id")).join(y, F.col("b") == F.col("b_id"))
     email = F.coalesce((F.col("a_email") == F.col("b_email")).cast("double"), F.lit(0.0))
     phone = F.coalesce((F.col("a_phone") == F.col("b_phone")).cast("double"), F.lit(0.0))
@@ -142,10 +203,37 @@ def score_customers(erp: DataFrame, crm: DataFrame, threshold: float = THRESHOLD
     stretch = F.greatest(la, lb) / F.greatest(F.least(la, lb), F.lit(1))
     bound = F.when(stretch < 1.5, F.greatest(2.0 * F.least(la, lb) / (la + lb), F.lit(TOKEN_SCALE))).when(stretch <= 8, F.lit(0.9)).otherwise(F.lit(0.6))
     rows = rows.where(NAME * bound + EMAIL * email + PHONE * phone >= threshold - 1e-9)
+    # What their letters allow, for pairs that have but their names. Both ratios, of the names and of their sorted tokens,
+    # need common letters; one that compares the tokens that both have with either name needs nearly all of one name.
+    need = threshold / NAME - 1e-9
+    if pruned and need > PARTIAL:
+        common = F.aggregate(F.zip_with("a_bag", "b_bag", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+        ratio = lambda more, n, m: 2.0 * (F.col("__common") + more) / F.greatest(n + m, F.lit(1))
+        solid, gaps, tokens = ([F.col(f"{x}_{name}") for x in "ab"] for name in ("solid", "gaps", "breaks"))
+        raw = ratio(F.least(*gaps), la, lb)
+        by_token = ratio(F.least(*tokens), solid[0] + tokens[0], solid[1] + tokens[1])
+        share = need / TOKEN_SCALE / (2 - need / TOKEN_SCALE)
+        inside = F.arrays_overlap("a_tokens", "b_tokens") & (F.col("__common") >= F.least(*[share * s - (1 - share) * t for s, t in zip(solid, tokens)]) - 1e-6)
+        alone = (email + phone == 0) & ~F.col("a_again") & ~F.col("b_again")
+        rows = rows.withColumn("__common", F.when(alone, common))
+        rows = rows.where(~alone | (raw >= need) | (TOKEN_SCALE * by_token >= need) | inside)
     rows = rows.withColumn("score", (NAME * name_similarity("a_s", "b_s") + EMAIL * email) + PHONE * phone)
     return rows.where(F.col("score") >= threshold).select(F.col("a").alias("erp_key"), F.col("b").alias("crm_key"), "score")
 
 
+def ambiguous_candidates(pairs: DataFrame) -> DataFrame:
+    """source_system, business_key, candidate, score: the top candidates of every record that has some and no match.
+
+    ``pairs`` as ``mutual_top`` gives them; a row for each candidate, so ties of any number are held by no task.
+    """
+    out = []
+    for system, key, other in (("erp", "erp_key", "crm_key"), ("crm", "crm_key", "erp_key")):
+        best = pairs.groupBy(key).agg(F.max("score").alias("__top"), F.bool_or("matched").alias("__done")).where("not __done")
+        tops = pairs.join(best, key).where(F.col("score") == F.col("__top"))
+        out.append(tops.select(F.lit(system).alias("source_system"), F.col(key).alias("business_key"), F.col(other).alias("candidate"), "score"))
+    return out[0].unionAll(out[1])
+
+
 def _entries(entity: str, matched: DataFrame, orphans_erp: DataFrame, orphans_crm: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     rows = matched.select("erp_key", "crm_key").unionAll(orphans_erp.select("erp_key", none.alias("crm_key"))).unionAll(orphans_crm.select(none.alias("erp_key"), "crm_key"))

@@ -154,10 +154,12 @@ def test_customers(spark):
     assert {(r.reason_code, r.stage) for r in bad.collect()} == {("ambiguous_match", "resolution")}
 
 
-@pytest.mark.parametrize("threshold", [0.75, 0.78, 0.9])
-def test_pruned_pairs_equal_the_nested_loop(spark, threshold):
+@pytest.mark.parametrize("threshold,side", [(0.75, 0), (0.75, 1000), (0.78, 0), (0.78, 1000), (0.9, 1000)])
+def test_pruned_pairs_equal_the_nested_loop(spark, threshold, side, monkeypatch):
+    monkeypatch.setattr(rs, "FEW", 0)
+    monkeypatch.setattr(rs, "SIDE", side)
     rng = random.Random(int(threshold * 100))
-    first, last = ["Ann", "Anna", "Maria", "Jon", "Jonathan", "R", "Al"], ["Lee", "Li", "Smith", "Smyth-Jones", "de la Cruz", "Oberhausen-Winterberg", "X"]
+    first, last = ["Ann", "Anna", "Maria", "Jon", "Jonathan", "R", "Al", "Ann Ann Ann"], ["Lee", "Li", "Smith", "Smyth-Jones", "de la Cruz", "Oberhausen-Winterberg", "X", "von und zu Hohenlohe-Waldenburg-Schillingsfuerst auf Bartenstein und Jagstberg"]
 
     def draw(n, tag):
         out = []
