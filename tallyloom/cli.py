@@ -1,4 +1,4 @@
-"""Command line: ``python -m tallyloom.cli reconcile|score|generate|show-config``."""
+"""Command line: ``python -m tallyloom.cli reconcile|score|sweep|generate|show-config``."""
 
 from __future__ import annotations
 
@@ -9,9 +9,18 @@ import time
 from pyspark.sql import SparkSession
 
 
-def _spark(zone: str | None) -> SparkSession:
+#: Bytes of exports up to which one machine's cores, and few partitions, are enough.
+SMALL = 64 << 20
+
+
+def _spark(zone: str | None, folder: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName("tallyloom")
-    return (builder.config("spark.sql.session.timeZone", zone) if zone else builder).getOrCreate()
+    if zone:
+        builder = builder.config("spark.sql.session.timeZone", zone)
+    if folder and sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names) <= SMALL:
+        # Tasks and generated classes for a few rows cost more than the rows.
+        builder = builder.config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
+    return builder.getOrCreate()
 
 
 def _reconcile(args) -> int:
@@ -20,8 +29,8 @@ def _reconcile(args) -> int:
 
     if not os.path.isdir(args.data_dir):
         raise SystemExit(f"{args.data_dir} is no folder")
-    spark, start = _spark(args.timezone), time.perf_counter()
-    result = reconcile(spark, args.data_dir, args.customer_threshold)
+    spark, start = _spark(args.timezone, args.data_dir), time.perf_counter()
+    result = reconcile(spark, args.data_dir, args.customer_threshold, args.lines)
     n_bad = result.quarantine.count()
     result.crosswalk = result.crosswalk.persist()
     result.crosswalk.count()
@@ -49,15 +58,27 @@ def _score(args) -> int:
     from .plans.reconcile import reconcile
     from .sources.exports import read_ground_truth
 
-    spark = _spark(args.timezone)
+    spark = _spark(args.timezone, args.data_dir)
     truth = read_ground_truth(spark, f"{args.data_dir}/ground_truth.json")
-    crosswalk = reconcile(spark, args.data_dir, args.threshold).crosswalk
+    crosswalk = reconcile(spark, args.data_dir, args.threshold, args.lines).crosswalk
     for name, entities in (("invoices", ("invoice",)), ("payments", ("payment",)), ("combined", ("invoice", "payment"))):
         r = score(crosswalk, truth, entities).first()
         print(f"{name}: precision {r.precision:.1%}, recall {r.recall:.1%}, f1 {r.f1:.1%}")
     return 0
 
 
+def _sweep(args) -> int:
+    from .plans.measures import sweep
+    from .plans.reconcile import reconcile
+    from .sources.exports import read_ground_truth
+
+    spark = _spark(args.timezone, args.data_dir)
+    truth = read_ground_truth(spark, f"{args.data_dir}/ground_truth.json")
+    for threshold, f1 in sweep(reconcile(spark, args.data_dir, lines=args.lines), truth, args.thresholds):
+        print(f"{threshold:g}: f1 {f1:.1%}")
+    return 0
+
+
 def _config(args):
     from dataclasses import replace
 
@@ -99,6 +120,12 @@ def main(argv: list[str] | None = None) -> int:
     rate.add_argument("data_dir")
     rate.add_argument("--threshold", type=float, default=0.75)
     rate.set_defaults(call=_score)
+    walk = commands.add_parser("sweep", help="F1 of the run at several customer thresholds")
+    walk.add_argument("data_dir")
+    walk.add_argument("--thresholds", type=float, nargs="+", default=[0.75, 0.8, 0.85, 0.9, 0.95])
+    walk.set_defaults(call=_sweep)
+    for command in (run, rate, walk):
+        command.add_argument("--lines", action="store_true", help="exports without line breaks in values (CSV, JSON lines), which tasks read in parts")
     for name, call in (("generate", _generate), ("show-config", _show)):
         make = commands.add_parser(name)
         make.add_argument("--config")

@@ -101,10 +101,10 @@ def _orphaned(d: Draw, ratio: float, able: Column, *key):
     return hit & left, hit & ~left
 
 
-def truth(spark: SparkSession, c: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+def truth(spark: SparkSession, c: Config, draw: type[Draw] = Draw) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Customers, invoices and payments before any mess."""
     today = F.lit(c.as_of or date.today().isoformat()).cast("date")
-    d = Draw(c.seed, "customer")
+    d = draw(c.seed, "customer")
     n = F.col("customer_no")
     customers = spark.range(1, c.num_customers + 1).select(F.col("id").cast("int").alias("customer_no"))
     customers = customers.withColumns({"first": d.one_of("first", FIRST, n), "last": d.one_of("last", LAST, n)})
@@ -116,7 +116,7 @@ def truth(spark: SparkSession, c: Config) -> tuple[DataFrame, DataFrame, DataFra
         F.concat_ws(" ", (1 + d.below("house", 999, n)).cast("string"), d.one_of("street", LAST, n), F.lit("Street")).alias("street"), d.one_of("city", PLACES, n).alias("city"),
         d.one_of("region", PLACES, n).alias("region"), F.format_string("%05d", d.below("postal", 100000, n)).alias("postal"), d.one_of("country", ("United States", "France", "Germany", "Spain"), n).alias("country"),
         F.date_sub(today, 30 + d.below("created", 1065, n)).alias("created"))
-    d = Draw(c.seed, "invoice")
+    d = draw(c.seed, "invoice")
     count = c.min_invoices_per_customer + d.below("count", c.max_invoices_per_customer - c.min_invoices_per_customer + 1, "customer_no")
     rows = customers.select("customer_no", count.alias("n")).where("n > 0").select("customer_no", F.explode(F.sequence(F.lit(1), "n")).alias("nth"))
     k = ("customer_no", "nth")
@@ -127,7 +127,7 @@ def truth(spark: SparkSession, c: Config) -> tuple[DataFrame, DataFrame, DataFra
         "customer_no", "invoice_no", F.date_sub(today, 1 + d.below("issued", 729, *k)).alias("issued"), d.one_of("term", (15, 30, 45, 60), *k).alias("term"),
         d.one_of("currency", CURRENCIES, *k).alias("currency"), (50 + d.u("amount", *k) * 4950).cast("decimal(14,2)").alias("amount"), d.weighted("status", STATUSES, *k).alias("status"),
         (~erp_gone).alias("in_erp"), (~crm_gone).alias("in_crm")).withColumn("due", F.date_add("issued", F.col("term")))
-    d = Draw(c.seed, "payment")
+    d = draw(c.seed, "payment")
     k = ("invoice_no",)
     rows = invoices.where(F.col("status").isin(*PAID) & (d.u("covered", *k) <= c.payment_coverage_ratio))
     erp_gone, crm_gone = _orphaned(d, c.messiness["orphan_ratio"], F.col("in_erp") & F.col("in_crm"), *k)
@@ -173,7 +173,10 @@ def messy(df: DataFrame, d: Draw, c: Config, key: str, kept: tuple[str, ...], da
         is_date = F.col(name).rlike(r"^\d{4}-\d\d-\d\d$")
         out = out.withColumn(name, F.when(is_date & (d.u(f"date {name}", key) < r["bad_date_ratio"]), corrupt_date(F.when(is_date, F.col(name)), d, f"form {name}", F.col(key))).otherwise(F.col(name)))
     if r["duplicate_ratio"]:
-        again = out.where(d.u("duplicate", key) < r["duplicate_ratio"])
+        # So many rows as the ratio says, each once: those of the least draws.
+        n = round(out.count() * r["duplicate_ratio"])
+        least = out.select(F.col(key).alias("__key"), d.u("duplicate", key).alias("__u")).orderBy("__u", "__key").limit(n).select("__key")
+        again = out.join(least, F.col(key) == F.col("__key"), "left_semi")
         names = [x for x in df.columns if x not in kept]
         which = d.below("perturbed", 2 * len(names), key)
         for i, name in enumerate(names):
@@ -190,29 +193,29 @@ def suffixed(df: DataFrame, key: str, order: Column) -> DataFrame:
     return df.withColumn("__nth", nth).withColumn(key, F.when(F.col("__nth") > 1, F.concat(F.col(key), F.lit("-DUP"), F.col("__nth").cast("string"))).otherwise(F.col(key))).drop("__nth")
 
 
-def erp_frames(tables, c: Config) -> dict[str, DataFrame]:
+def erp_frames(tables, c: Config, draw: type[Draw] = Draw) -> dict[str, DataFrame]:
     customers, invoices, payments = tables
     key = lambda form, col: F.format_string(form, F.col(col).cast("int"))
     cust = customers.select(key("C%06d", "customer_no").alias("CUST_ID"), F.col("name").alias("CUST_NAME"), F.col("email").alias("EMAIL_ADDR"), F.col("phone").alias("PHONE_NUM"), F.col("street").alias("ADDR_LINE1"), F.col("city").alias("CITY"), F.col("region").alias("REGION"), F.col("postal").alias("POSTAL_CD"), F.col("country").alias("COUNTRY"), F.col("created").cast("string").alias("CREATED_DT"))
     inv = invoices.where("in_erp").select(key("INV-%06d", "invoice_no").alias("INV_NO"), key("C%06d", "customer_no").alias("CUST_ID"), F.col("issued").cast("string").alias("ISSUE_DT"), F.col("due").cast("string").alias("DUE_DT"), F.col("currency").alias("CURR_CD"), F.col("amount").cast("string").alias("AMT"), F.upper("status").alias("STATUS_CD"))
     pay = payments.where("in_erp").select(key("PMT-%06d", "payment_no").alias("PMT_NO"), key("INV-%06d", "invoice_no").alias("INV_NO"), key("C%06d", "customer_no").alias("CUST_ID"), F.col("paid").cast("string").alias("PMT_DT"), (F.col("amount") + F.col("drift")).cast("string").alias("AMT"), F.upper("method").alias("PMT_METHOD_CD"))
     return {
-        "customers": messy(cust, Draw(c.seed, "erp customers"), c, "CUST_ID", ("CUST_ID",), ["CREATED_DT"], ["CUST_NAME", "ADDR_LINE1", "CITY"]),
-        "invoices": messy(inv, Draw(c.seed, "erp invoices"), c, "INV_NO", ("INV_NO", "CUST_ID", "AMT", "CURR_CD"), ["ISSUE_DT", "DUE_DT"]),
-        "payments": messy(pay, Draw(c.seed, "erp payments"), c, "PMT_NO", ("PMT_NO", "INV_NO", "CUST_ID", "AMT"), ["PMT_DT"]),
+        "customers": messy(cust, draw(c.seed, "erp customers"), c, "CUST_ID", ("CUST_ID",), ["CREATED_DT"], ["CUST_NAME", "ADDR_LINE1", "CITY"]),
+        "invoices": messy(inv, draw(c.seed, "erp invoices"), c, "INV_NO", ("INV_NO", "CUST_ID", "AMT", "CURR_CD"), ["ISSUE_DT", "DUE_DT"]),
+        "payments": messy(pay, draw(c.seed, "erp payments"), c, "PMT_NO", ("PMT_NO", "INV_NO", "CUST_ID", "AMT"), ["PMT_DT"]),
     }
 
 
-def crm_documents(tables, c: Config) -> DataFrame:
+def crm_documents(tables, c: Config, draw: type[Draw] = Draw) -> DataFrame:
     """Nested customer documents; invoices and payments without a parent in the export are left out."""
     customers, invoices, payments = tables
     key = lambda form, col: F.format_string(form, F.col(col).cast("int"))
     cust = customers.select(key("CUST-%06d", "customer_no").alias("customerId"), F.col("name").alias("customerName"), "email", "phone", F.col("created").cast("string").alias("createdAt"), "street", "city", "region", F.col("postal").alias("postalCode"), "country")
     inv = invoices.where("in_crm").select(key("INV%06d", "invoice_no").alias("invoiceNumber"), key("CUST-%06d", "customer_no").alias("customerId"), F.col("issued").cast("string").alias("issueDate"), F.col("due").cast("string").alias("dueDate"), "currency", F.col("amount").cast("string").alias("amount"), "status")
     pay = payments.where("in_crm").select(key("PAY%06d", "payment_no").alias("paymentNumber"), key("INV%06d", "invoice_no").alias("invoiceNumber"), F.col("paid").cast("string").alias("paymentDate"), F.col("amount").cast("string").alias("amount"), "method")
-    cust = messy(cust, Draw(c.seed, "crm customers"), c, "customerId", ("customerId",), ["createdAt"], ["customerName", "street", "city"])
-    inv = messy(inv, Draw(c.seed, "crm invoices"), c, "invoiceNumber", ("invoiceNumber", "customerId", "amount", "currency"), ["issueDate", "dueDate"])
-    pay = messy(pay, Draw(c.seed, "crm payments"), c, "paymentNumber", ("paymentNumber", "invoiceNumber", "amount"), ["paymentDate"])
+    cust = messy(cust, draw(c.seed, "crm customers"), c, "customerId", ("customerId",), ["createdAt"], ["customerName", "street", "city"])
+    inv = messy(inv, draw(c.seed, "crm invoices"), c, "invoiceNumber", ("invoiceNumber", "customerId", "amount", "currency"), ["issueDate", "dueDate"])
+    pay = messy(pay, draw(c.seed, "crm payments"), c, "paymentNumber", ("paymentNumber", "invoiceNumber", "amount"), ["paymentDate"])
     # Copies get keys of their own; children hang on the first row of their parent's key.
     order = F.xxhash64(F.lit(c.seed), F.to_json(F.struct("*")))
     cust, inv = suffixed(cust, "customerId", order), suffixed(inv, "invoiceNumber", order)
@@ -234,6 +237,13 @@ def ground_truth(tables) -> tuple[DataFrame, DataFrame]:
     return make(invoices, "invoice_no", "INV-%06d", "INV%06d", "invoice"), make(payments, "payment_no", "PMT-%06d", "PAY%06d", "payment")
 
 
+def truth_summary(invoices: DataFrame, payments: DataFrame) -> DataFrame:
+    """One row: how many there are, how many have no counterpart, how many amounts differ."""
+    first = invoices.agg(F.count("*").alias("total_invoices"), F.count_if(~F.col("expected_match")).alias("invoice_orphans"))
+    second = payments.agg(F.count("*").alias("total_payments"), F.count_if(~F.col("expected_match")).alias("payment_orphans"), F.count_if("has_amount_mismatch").alias("payment_amount_mismatches"))
+    return first.crossJoin(second)  # a row with a row
+
+
 def _write_csv(df: DataFrame, path: str) -> None:
     import csv
 
@@ -254,7 +264,8 @@ def generate(spark: SparkSession, c: Config) -> None:
     with open(f"{c.output_dir}/generation_config.yaml", "w", encoding="utf-8") as f:
         f.write(c.to_yaml())
     if c.with_ground_truth:
-        invoices, payments = ([r.asDict() for r in df.toLocalIterator()] for df in ground_truth(tables))
-        summary = {"total_invoices": len(invoices), "invoice_orphans": sum(not x["expected_match"] for x in invoices), "total_payments": len(payments), "payment_orphans": sum(not x["expected_match"] for x in payments), "payment_amount_mismatches": sum(x["has_amount_mismatch"] for x in payments)}
+        frames = ground_truth(tables)
+        invoices, payments = ([r.asDict() for r in df.toLocalIterator()] for df in frames)
+        summary = truth_summary(*frames).first().asDict()
         with open(f"{c.output_dir}/ground_truth.json", "w", encoding="utf-8") as f:
             json.dump({"invoices": invoices, "payments": payments, "summary": summary}, f, indent=2)

@@ -8,6 +8,7 @@ from ..schemas import ENTITIES, SYSTEMS
 from .measures import match_rates, orphan_counts, payment_drift, reason_counts
 from .reconcile import Result
 
+# Headings, labels and the order of lines are the report's. Fixed values.
 SIDES = {"erp": "crm", "crm": "erp"}
 
 
@@ -50,16 +51,16 @@ def render(result: Result, seconds: float | None = None, scores=None, sample: in
         parts.append((f"### {r.entity_type.capitalize()}", lines[:-1]))
     drift = payment_drift(result.crosswalk, result.clean["erp", "payment"], result.clean["crm", "payment"]).agg(F.count("*").alias("n"), F.sum("drift").alias("s")).first()
     amount = f"{drift.s.normalize():f}" if drift.s else "0"
-    parts.append(("## Payment amount mismatches", [f"Mismatched payments: {drift.n}", "", f"Total drift: {amount}"]))
+    parts.append(("## Payment amount mismatches", [f"Mismatched payments: {drift.n}", "", f"Total drift: {amount}", ""]))
     groups = result.duplicates.count()
     lines = [f"Duplicate groups collapsed: {groups}", ""]
     if groups:
         logs = result.duplicates.orderBy("__part", F.length("__seq"), "__seq").limit(sample).collect()
         lines += _table(["Key column", "Key value", "Rows merged", "Differing columns"], [[x.key_column, x.key_value, x.row_count, ", ".join(x.differing_columns) or "_none_"] for x in logs])
-        lines += ["", f"...and {groups - sample} more"] if groups > sample else []
+        lines += ["", f"...and {groups - sample} more", ""] if groups > sample else []
     else:
         lines.append("_none_")
     parts.append(("## Intra-system duplicates collapsed", lines))
     if scores is not None:
         parts.append(("## Precision / recall (against ground truth)", [f"- Precision: {scores.precision:.1%}", f"- Recall: {scores.recall:.1%}", f"- F1: {scores.f1:.1%}"]))
-    return "\n\n".join("\n".join([head, *([""] if lines else []), *lines]) for head, lines in parts) + "\n" * (1 if scores is not None else 2)
+    return "\n\n".join("\n".join([head, *([""] if lines else []), *lines]) for head, lines in parts) + "\n"

@@ -21,6 +21,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             if not _own:
                 _own.append(tempfile.mkdtemp(prefix="reconcile-"))
                 atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
