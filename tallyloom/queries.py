@@ -15,6 +15,7 @@ from .operators.upsert import upsert_crosswalk, upsert_rows
 from .operators.validate import classify
 from .plans import measures
 from .plans.generate import suffixed
+from .plans.report import _listed
 from .schemas import SEQ
 from .sources.exports import flatten
 
@@ -62,16 +63,21 @@ def q_parse_dates(spark, sf_dir):
     return parsed.select("o_orderkey", "day", (F.col("raw").isNotNull() & F.col("day").isNull()).alias("invalid"))
 
 
-@query("select doc_id, sha256(text) as fixed, n_chars from documents")
+@query()
 def q_mojibake(spark, sf_dir):
-    """Whole texts encoded the wrong way come back as they were; those the code page cannot hold stay apart from this test."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    specials, controls = clean._SPECIALS, clean._CONTROLS
-    wrong = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), controls, specials)
-    # Bytes without a character in the code page are left as controls, which repair leaves alone.
-    exact = ~wrong.rlike("[\\x80-\\x9F]") & ~F.col("text").rlike("[\\x80-\\x9F]")
-    fixed = F.when(exact, clean.repair_mojibake(wrong)).otherwise(F.col("text"))
-    return rows.select("doc_id", F.sha2(fixed, 256).alias("fixed"), "n_chars")
+    """The repair of every text read in the wrong encoding; what has no character in the code page stays as it is. Tests hold it against a plain loop."""
+    wrong = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), clean._CONTROLS, clean._SPECIALS)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean.repair_mojibake(wrong), 256).alias("fixed"), "n_chars")
+
+
+@query("""
+select doc_id, sha256(text) as fixed from documents
+where octet_length(encode(text)) = len(text) or not regexp_matches(hex(encode(text)), '^([0-9A-F]{2})*?(81|8D|8F|90|9D)')""")
+def q_mojibake_round_trip(spark, sf_dir):
+    """Texts whose bytes all have characters in the code page come back whole."""
+    rows = table(spark, sf_dir, "documents").where(~F.hex(F.encode("text", "UTF-8")).rlike("^(..)*?(81|8D|8F|90|9D)"))
+    wrong = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), clean._CONTROLS, clean._SPECIALS)
+    return rows.select("doc_id", F.sha2(clean.repair_mojibake(wrong), 256).alias("fixed"))
 
 
 @query("""
@@ -133,21 +139,34 @@ def q_validate_reason(spark, sf_dir):
     return classify(_raw_invoices(spark, sf_dir), "invoice", "erp").groupBy("reason_code", "stage").agg(F.count("*").alias("n"))
 
 
-@query("""
-select o_orderkey, c_name, o_orderdate::date as day, c_mktsegment as city from customer join orders on c_custkey = o_custkey""")
+LINES = "select l_orderkey as o, l_shipdate::date as d, sum(round(l_extendedprice * 100)::bigint)::bigint as cents from lineitem group by all"
+
+
+@query(f"""
+select 'invoice' as entity, o_orderkey, null as payment, c_name, o_orderdate::date as day, c_mktsegment as city, null::bigint as cents from customer join orders on c_custkey = o_custkey
+union all select 'payment', o, o || '/' || d, c_name, d, c_mktsegment, cents from ({LINES}) join orders on o = o_orderkey join customer on c_custkey = o_custkey""")
 def q_flatten_nested(spark, sf_dir):
-    """Orders nested into customer documents, and flattened again."""
-    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    none = F.lit(None).cast("string")
-    payment = "array<struct<paymentNumber:string,paymentDate:string,amount:string,method:string>>"
-    item = F.struct(F.col("o_orderkey").cast("string").alias("invoiceNumber"), F.col("o_orderdate").cast("date").cast("string").alias("issueDate"), none.alias("dueDate"), none.alias("currency"), none.alias("amount"), none.alias("status"), F.lit(None).cast(payment).alias("payments"))
-    nested = orders.groupBy("o_custkey").agg(F.collect_list(item).alias("invoices"))
-    docs = customer.join(nested, customer.c_custkey == nested.o_custkey, "left").select(
-        F.col("c_custkey").cast("string").alias("customerId"), F.col("c_name").alias("customerName"), none.alias("email"), none.alias("phone"), none.alias("createdAt"),
-        F.struct(none.alias("street"), F.col("c_mktsegment").alias("city"), none.alias("region"), none.alias("postalCode"), none.alias("country")).alias("address"), "invoices")
-    flat = flatten(docs)
-    rows = flat["invoice"].join(flat["customer"].select("customerId", "customerName", "city"), "customerId")
-    return rows.select(F.col("invoiceNumber").cast("long").alias("o_orderkey"), F.col("customerName").alias("c_name"), F.to_date("issueDate").alias("day"), "city")
+    """Payments nested into orders, these into customer documents, and all flattened again."""
+    flat = flatten(nested(spark, sf_dir))
+    customers = flat["customer"].select("customerId", "customerName", "city")
+    invoices = flat["invoice"].join(customers, "customerId")
+    payments = flat["payment"].drop(SEQ).join(invoices.select("invoiceNumber", "customerName", "city"), "invoiceNumber")
+    none = F.lit(None)
+    one = invoices.select(F.lit("invoice").alias("entity"), F.col("invoiceNumber").cast("long").alias("o_orderkey"), none.cast("string").alias("payment"), F.col("customerName").alias("c_name"), F.to_date("issueDate").alias("day"), "city", none.cast("long").alias("cents"))
+    two = payments.select(F.lit("payment").alias("entity"), F.col("invoiceNumber").cast("long").alias("o_orderkey"), F.col("paymentNumber").alias("payment"), F.col("customerName").alias("c_name"), F.to_date("paymentDate").alias("day"), "city", (F.col("amount").cast("decimal(14,2)") * 100).cast("long").alias("cents"))
+    return one.unionAll(two)
+
+
+def nested(spark, sf_dir) -> DataFrame:
+    """Customer documents of the tables, as the nested export has them."""
+    customer, orders, none = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), F.lit(None).cast("string")
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_shipdate").cast("date").cast("string").alias("d")).agg((cents / F.lit(100).cast("decimal(3,0)")).cast("decimal(14,2)").cast("string").alias("amount"))
+    paid = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.concat_ws("/", F.col("l_orderkey").cast("string"), "d").alias("paymentNumber"), F.col("d").alias("paymentDate"), "amount", none.alias("method"))).alias("payments"))
+    item = F.struct(F.col("o_orderkey").cast("string").alias("invoiceNumber"), F.col("o_orderdate").cast("date").cast("string").alias("issueDate"), none.alias("dueDate"), F.lit("USD").alias("currency"), F.col("o_totalprice").cast("decimal(14,2)").cast("string").alias("amount"), F.col("o_orderstatus").alias("status"), "payments")
+    rows = orders.join(paid, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(F.collect_list(item).alias("invoices"))
+    address = F.struct(none.alias("street"), F.col("c_mktsegment").alias("city"), none.alias("region"), none.alias("postalCode"), none.alias("country")).alias("address")
+    return customer.join(rows, customer.c_custkey == rows.o_custkey, "left").select(F.col("c_custkey").cast("string").alias("customerId"), F.col("c_name").alias("customerName"), none.alias("email"), none.alias("phone"), none.alias("createdAt"), address, "invoices")
 
 
 # -- resolution: customers pair by key but for every 17th; days are coarse, so that some agree by chance ---------
@@ -321,29 +340,13 @@ def q_dup_suffix(spark, sf_dir):
     return suffixed(rows, "key", F.col("o")).groupBy("l_orderkey", "l_linenumber", "key").agg(F.count("*").alias("n"))
 
 
-@query(f"with {INVOICE_SQL} select erp_key, (select count(*) from invoice where crm_key is null) - 5 as more from invoice where crm_key is null order by erp_key limit 5")
+@query(f"""with {INVOICE_SQL}, alone as (select erp_key from invoice where crm_key is null), n as (select count(*) as n from alone),
+first as (select row_number() over (order by erp_key) as place, '- `erp_key=' || erp_key || '` `crm_key=None`' as line from alone)
+select place, line from first where place <= 5 union all select 6, '- ...and ' || (n - 5) || ' more' from n where n > 5 union all select 1, '_none_' from n where n = 0""")
 def q_topk_sample(spark, sf_dir):
-    """The report's first five orphans, and how many more there are."""
-    alone = _resolved(spark, sf_dir)[0].where("crm_key is null").select("erp_key")
-    return alone.orderBy("erp_key").limit(5).crossJoin(F.broadcast(alone.agg((F.count("*") - 5).alias("more"))))
-
-
-@query("""
-select o_orderkey as invoice_no, o_custkey as customer_no, (o_orderdate::date + ((o_orderkey % 4 + 1) * 15)::int)::date as due,
-  case when o_orderkey % 20 < 11 then 'paid' when o_orderkey % 20 < 14 then 'partial' when o_orderkey % 20 < 16 then 'unpaid' when o_orderkey % 20 < 19 then 'overdue' else 'void' end as status,
-  o_orderkey % 20 <> 3 as in_erp, o_orderkey % 20 <> 7 as in_crm from orders""")
-def q_generate_invoices(spark, sf_dir):
-    """Terms, weighted states and sides as the generator lays them out, with digits of the key for its draws."""
-    rows = table(spark, sf_dir, "orders")
-    status = F.expr("case when o_orderkey % 20 < 11 then 'paid' when o_orderkey % 20 < 14 then 'partial' when o_orderkey % 20 < 16 then 'unpaid' when o_orderkey % 20 < 19 then 'overdue' else 'void' end")
-    term = F.element_at(F.array(*[F.lit(x) for x in (15, 30, 45, 60)]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return rows.select(F.col("o_orderkey").alias("invoice_no"), F.col("o_custkey").alias("customer_no"), F.date_add(F.col("o_orderdate").cast("date"), term).alias("due"), status.alias("status"), (F.col("o_orderkey") % 20 != 3).alias("in_erp"), (F.col("o_orderkey") % 20 != 7).alias("in_crm"))
+    """The report's sample of orphans: the first five, and how many more there are."""
+    alone = _resolved(spark, sf_dir)[0].where("crm_key is null")
+    return spark.createDataFrame(list(enumerate(_listed(alone, alone.count(), 5), 1)), "place long, line string")
 
 
-@query("""
-select conv_id, count(*) as turns, string_agg(role, '>' order by turn, role, text) as roles from conversations group by conv_id""")
-def q_nest_children(spark, sf_dir):
-    """Children nested under their parent in order."""
-    rows = table(spark, sf_dir, "conversations")
-    nested = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return nested.select("conv_id", F.size("turns").cast("long").alias("turns"), F.array_join(F.col("turns.role"), ">").alias("roles"))
+from . import queries_exports, queries_generated  # noqa: E402, F401  (they add theirs to the tables above)
