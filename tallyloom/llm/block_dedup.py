@@ -17,7 +17,8 @@ between ranges by range, as ranges are in id order.
 Defined results: null and empty texts, and those of fewer than ``window`` words,
 keep all; rows that repeat an id are one document to each other (neither loses
 words for the other); null ids rank after all ids and equal among themselves;
-an empty table gives an empty one. Columns named like an output are replaced.
+an empty table gives an empty one. Ids must be whole numbers (others raise an
+error). Columns named like an output are replaced.
 
 A task holds one range's texts and some arrays of eight bytes a word; there are
 two ranges to a shuffle partition, so the number of those sets its memory.

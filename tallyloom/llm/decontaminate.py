@@ -9,7 +9,8 @@ only if its words' bytes equal the pattern's. Many positions, each in a stretch
 of its own, advance together, so the tables are read by whole arrays.
 
 Defined results: a null or empty text has no words and no hits; a null or empty
-item has no pattern; equal items each count; repeated rows are each searched;
+item has no pattern; equal items each count, items that repeat an id once, and those
+of null ids as one of the empty name; repeated rows are each searched;
 an empty table gives no rows (or no hits, for an empty benchmark). Columns of
 the input named like an output column are replaced by it.
 """
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textops as tx
+from .scratch import Scratch
 
 BLOCK = 2
 #: Words of a text that one search position walks through.
@@ -184,12 +186,16 @@ def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
 
     The benchmark is broadcast in portions of at most ``BROADCAST_BYTES`` of
     text; each portion beyond the first is one more pass over the rows, without
-    a shuffle.
+    a shuffle. Passes are written in between, so that tasks hold one portion's tables.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
     out = docs.drop(*[f.name for f in RESULT if f.name in docs.columns and f.name != text_col])
     plain = out.columns
     for k, portion in enumerate(_portions(benchmark, item_col, item_text_col)):
+        if k:
+            out = scratch.keep(out, f"pass-{k}")
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(matchers(portion, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, again=bool(k)) -> Iterator[pa.RecordBatch]:

@@ -101,7 +101,8 @@ def fingerprint(df: DataFrame, text_col: str = "text", k: int = K, window: int =
 
 
 def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
-    """Fingerprints of each text and of its edited text, with their likeness and that to the next document's.
+    """Fingerprints of each text and of its edited text, with their likeness and that to the next document's, and the places of
+    the text's chosen k-grams (code points from its start, in order), which any shared run of window + k - 1 code points meets.
 
     The next document follows in descending id order (rows that repeat an id in
     the order of their texts, null ids last), the first after the last. Rows are
@@ -132,10 +133,10 @@ def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield None, "", None, False
 
         out: list[tuple] = []
-        last = None  # the own row that waits for its next one: id, text, range, hashes
+        last = None  # the own row that waits for its next one: id, text, range, hashes, positions
 
         for doc, text, r, own in entries():
-            mine = winnow(text, k, window)[0] if r is not None and (own or last) else None
+            mine, places = winnow(text, k, window) if r is not None and (own or last) else (None, None)
             if last is not None:
                 if r != last[2]:
                     raise ValueError("a range ended without the row that follows it")
@@ -143,10 +144,10 @@ def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 edited = last[1][: len(last[1]) - cut] + text[:cut]
                 prints = winnow(edited, k, window)[0]
                 a = np.unique(last[3])
-                out.append((last[0], len(last[1]), edited, _string(last[3]), _string(prints), likeness(a, np.unique(prints)), likeness(a, np.unique(mine))))
+                out.append((last[0], len(last[1]), edited, _string(last[3]), _string(prints), likeness(a, np.unique(prints)), likeness(a, np.unique(mine)), ",".join(map(str, last[4].tolist()))))
                 last = None
             if own:
-                last = (doc, text, r, mine)
+                last = (doc, text, r, mine, places)
             if len(out) >= 256:
                 yield _rows(out, kind)
                 out = []
@@ -157,15 +158,15 @@ def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(kind)
-    return rows.select("id", "text", RANGE, "own").mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("id", "text", RANGE, "own").mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions string")
 
 
 def _rows(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=list("abcdefg"))
+    types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=list("abcdefgh"))
 
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return compare_neighbours(docs).select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions")

@@ -34,11 +34,10 @@ class Ranges:
         self.bits = max(1, (self.n - 1).bit_length())
         cuts = bounds(docs, id_col, self.count)
         key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-        self.rows = docs.withColumn(RANGE, range_of(key, cuts)).withColumn("__key", key)
-        self.text_col = text_col
+        self.docs, self.own = docs, (range_of(key, cuts).alias(RANGE), key.alias("__key"), F.col(text_col).alias("text"))
 
     def texts(self) -> DataFrame:
-        return self.rows.select(RANGE, "__key", F.col(self.text_col).alias("text"))
+        return self.docs.select(*self.own)
 
     def ask(self, fn: Callable[[pa.Table], Iterator], answers: DataFrame | None = None) -> DataFrame:
         """``fn(texts, answers)`` of every range gives its sorted distinct hashes and a flag for each."""
@@ -69,7 +68,7 @@ class Ranges:
 
     def finish(self, answers: DataFrame, fn: Callable, schema, columns: list[str]) -> DataFrame:
         """``fn(rows, answers)`` of every range, with these columns of the documents beside key and text."""
-        rows = self.rows.select(RANGE, "__key", F.col(self.text_col).alias("text"), F.struct(*[F.col(c) for c in columns]).alias("row"))
+        rows = self.docs.select(*self.own, F.struct(*[F.col(c) for c in columns]).alias("row"))
         return rows.groupBy(RANGE).cogroup(answers.groupBy(RANGE)).applyInArrow(lambda key, t, a: fn(in_order(t), a), schema)
 
 

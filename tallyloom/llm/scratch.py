@@ -18,6 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if 0 not in _OWN:
         _OWN[0] = tempfile.mkdtemp(prefix="tallyloom-")
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)

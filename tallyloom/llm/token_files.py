@@ -15,7 +15,8 @@ joined back by position. Other tokenizers get whole texts.
 
 Defined results: a null or empty text has the end id alone; rows with a null id
 come first; rows that repeat an id follow one another in the order of their
-texts; an empty table gives no files. Other columns are not written.
+texts; an empty table gives no files. Ids must be whole numbers (others raise an
+error). Other columns are not written.
 """
 
 from __future__ import annotations
