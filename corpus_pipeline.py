@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: five stages, each by one operator.
 
 Every stage takes (spark, docs, sf_dir) and gives the documents that it keeps,
-with the same columns (and any others that came along); the last one adds the
-token ids. A stage's output is written as Parquet and read again by the next.
+with the same columns (and any others that came along, whatever their names); the
+last one adds the token ids (ids, decoded, n_tokens). A stage's output is written as Parquet and read again by the next.
 
 1 toxicity          documents that the classifier rejects go
 2 near_duplicates   of each component of near duplicates the least id stays
@@ -17,41 +17,54 @@ through all stages and have no ids; empty tables stay empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.llm import block_dedup, decontaminate, ngram_join, sentencepiece_codec, toxicity
 from tallyloom.llm.scratch import Scratch
 
-KEY = "__row_key"
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The text, these columns, and all columns but the text in one, so that no operator's column meets one of theirs."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    return docs.select(*more, "text", F.struct(F.lit(0).alias("_"), *others).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them anew."""
+    return rows.select(*[new.get(c, F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model, score_col="__score").where("__score < 0.5").drop("__score")
+    return unpacked(toxicity.score(packed(docs), model).where("score < 0.5"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows without an id come after all ids: one stays only where no row of its group has an id.
-    keyed = docs.withColumn(KEY, F.coalesce("doc_id", F.xxhash64("text").bitwiseAND((1 << 62) - 1) + (1 << 62)))
-    found = ngram_join.near_duplicates(keyed, id_col=KEY)
-    kept = found.where(F.col(KEY) == F.col("component_id")).select(KEY).distinct()
-    first = F.row_number().over(Window.partitionBy(KEY).orderBy(F.col("doc_id").asc_nulls_last(), "text"))
-    return keyed.join(kept, KEY, "left_semi").withColumn("__nth", first).where("__nth = 1").select(*docs.columns)
+    key = F.coalesce(F.col("doc_id"), F.xxhash64("text").bitwiseAND((1 << 62) - 1) + (1 << 62)).cast("long").alias("key")
+    rows = packed(docs, key)
+    found = ngram_join.near_duplicates(rows.select("key", "text"), id_col="key")
+    kept = found.where(F.col("key") == F.col("component_id")).select("key").distinct()
+    # Of rows that repeat an id one stays: the first by its text, then by its other columns.
+    order = F.struct(F.col("row.doc_id").isNull(), F.col("text"), F.to_json("row"))
+    first = rows.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("text", "row"), order).alias("one"))
+    return unpacked(first.select("one.*"), docs)
 
 
 def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = block_dedup.dedup(docs.withColumn("__null", F.col("text").isNull()), layout=True, label="pipeline-runs")
-    gone = F.col("n_removed") > 0
+    rows = packed(docs, F.col("doc_id"), F.col("text").isNull().alias("no_text"))
+    found = block_dedup.dedup(rows, layout=True, label="pipeline-runs")
     # The operator gives an empty text for a null one: it is put back.
-    text = F.when(F.col("__null"), F.lit(None).cast("string")).otherwise(F.col("kept"))
-    rows = found.withColumn("text", text).withColumn("n_chars", F.when(gone, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    text = F.when(F.col("no_text"), F.lit(None).cast("string")).otherwise(F.col("kept"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unpacked(found, docs, **new)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate.search(docs, benchmark).where("n_hit = 0").select(*docs.columns)
+    return unpacked(decontaminate.search(packed(docs), benchmark).where("n_hit = 0"), docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
