@@ -12,6 +12,9 @@ from tests.llm.test_codec_and_search import plain as plain_search
 from tests.llm.test_ngram_join import plain as plain_groups
 
 
+FOREIGN = ["kept", "n_words", "items", "hit_words", "score", "row", "key", "no_text", "__key", "__range"]
+
+
 def test_the_stages_equal_plain_loops(spark, tmp_path):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randrange(3, 9)))
@@ -35,7 +38,7 @@ def test_the_stages_equal_plain_loops(spark, tmp_path):
             near[7:8] = ["changed"]
         rows.append((i, " ".join(near), "en", "copy", 0))
     rows += [(300, None, None, None, None), (301, "", "en", "s", 0), (None, rows[2][1], "en", "s", 1), (4, rows[4][1], "en", "s", 1)]
-    docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    docs = spark.createDataFrame([(*r, *[f"{c} of {r[0]}" for c in FOREIGN]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in FOREIGN))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     items = [(1, " ".join(item)), (2, None)]
@@ -47,6 +50,7 @@ def test_the_stages_equal_plain_loops(spark, tmp_path):
         assert k == len(cp.STAGES) - 1 or out.columns == docs.columns
         out.write.parquet(f"{tmp_path}/out-{k}")
         frame = spark.read.parquet(f"{tmp_path}/out-{k}")
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in frame.select("doc_id", *FOREIGN).collect() for c in FOREIGN)
         got[name] = sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
 
     # 1: every toxic document goes, hardly any other
