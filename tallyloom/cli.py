@@ -19,7 +19,8 @@ def _spark(zone: str | None, folder: str | None = None) -> SparkSession:
         builder = builder.config("spark.sql.session.timeZone", zone)
     if folder and sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names) <= SMALL:
         # Tasks and generated classes for a few rows cost more than the rows.
-        builder = builder.config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
+        few = {"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+        builder = builder.config(map=few)
     return builder.getOrCreate()
 
 
