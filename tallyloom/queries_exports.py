@@ -10,7 +10,7 @@ from .operators.validate import validate
 from .plans import measures, persist, report
 from .plans.reconcile import Result
 from .queries import INVOICE_SQL, LINES, PAYMENT_SQL, _customers, _invoices, _paid, _payments, _raw_invoices, _resolved, nested, query, table
-from .schemas import ENTITIES, REASONS, SYSTEMS
+from .schemas import ENTITIES, ERP_COLUMNS, REASONS, SYSTEMS
 from .sources.exports import RawTables, ingest, read_crosswalk
 from .sources.workspace import Workspace
 
@@ -21,11 +21,9 @@ def _exported(spark, sf_dir, lines: bool) -> RawTables:
     money = lambda c: F.col(c).cast("decimal(14,2)").cast("string")
     text = lambda *names: [F.col(c).cast("string") for c in names]
     none = F.lit("").alias
-    customer = table(spark, sf_dir, "customer").select(*text("c_custkey"), F.concat(F.lit(' say "'), "c_name", F.lit('", or so ')).alias("n"), none("e"), "c_phone" if "c_phone" in table(spark, sf_dir, "customer").columns else none("p"), none("a"), "c_mktsegment", none("r"), none("z"), none("c"), none("d"))
+    customer = table(spark, sf_dir, "customer").select(*text("c_custkey"), F.concat(F.lit(' say "'), "c_name", F.lit('", or so ')).alias("n"), none("e"), none("p"), none("a"), "c_mktsegment", none("r"), none("z"), none("c"), none("d"))
     orders = table(spark, sf_dir, "orders").select(*text("o_orderkey", "o_custkey"), F.col("o_orderdate").cast("date").cast("string").alias("d"), none("u"), F.lit("USD").alias("c"), money("o_totalprice").alias("a"), "o_orderstatus")
     pay = _payments(spark, sf_dir, "erp").select("business_key", "invoice_business_key", none("c"), F.col("payment_date").cast("string").alias("d"), F.col("amount").cast("decimal(14,2)").cast("string").alias("a"), none("m"))
-    from .schemas import ERP_COLUMNS
-
     for entity, df in zip(ENTITIES, (customer, orders, pay)):
         writer = df.toDF(*ERP_COLUMNS[entity]).write.option("header", True).option("quote", '"').option("escape", '"')
         writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/erp/{persist.FOLDERS[entity]}.csv")
@@ -50,7 +48,7 @@ union all select o_orderkey::varchar, o_custkey::varchar, null, o_totalprice::de
 def q_scan_csv(spark, sf_dir):
     """Flat exports read back: quotes, commas, padding and empty cells."""
     raw = _exported(spark, sf_dir, False)
-    one = raw["erp", "customer"].select(F.col("CUST_ID").alias("key"), F.col("CUST_NAME").alias("name"), F.col("REGION" if False else "CITY").alias("city"), F.col("EMAIL_ADDR").alias("amount"))
+    one = raw["erp", "customer"].select(F.col("CUST_ID").alias("key"), F.col("CUST_NAME").alias("name"), F.col("CITY").alias("city"), F.col("EMAIL_ADDR").alias("amount"))
     return one.unionAll(raw["erp", "invoice"].select("INV_NO", "CUST_ID", "DUE_DT", "AMT"))
 
 
@@ -217,7 +215,7 @@ def _result(spark, sf_dir, invoices=None) -> Result:
 
 @query(f"""with {INVOICE_SQL}, {PAYMENT_SQL}
 select 'customers' as name, count(*) as n, null::bigint as cents from (select 'E' || c_custkey from customer union select 'C' || c_custkey from customer)
-union all select 'invoices', (select count(*) from erp) + (select count(*) from crm), null union all select 'payments', (select count(*) from pe) + (select count(*) from pc), (select sum(cents) from pe) + (select sum(cents) from pc)
+union all select 'invoices', (select count(*) from erp) + (select count(*) from crm), null union all select 'payments', (select count(*) from pe) + (select count(*) from pc), ((select sum(cents) from pe) + (select sum(cents) from pc))::bigint
 union all select 'crosswalk', (select count(*) from invoice) + (select count(*) from payment) + (select count(*) from x), null
 union all select 'quarantine', count(*) filter (o_orderkey % 13 = 0 or o_orderkey % 19 = 0 or o_orderkey % 11 = 0 or o_orderkey % 17 = 0 or o_orderkey % 23 = 0), null from orders""")
 def q_load_targets(spark, sf_dir):
