@@ -6,12 +6,32 @@ arrays of a task stay small whatever the batch holds; a text is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+
+def _give_back(limit: int = 1 << 19) -> None:
+    """Lets arrays of ``limit`` bytes or more go back to the system when they are freed.
+
+    Otherwise the C library and Arrow keep them for later, and every Python worker
+    of an executor, idle ones too, would stay as large as it ever was.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, limit)  # M_MMAP_THRESHOLD of glibc
+        library.mallopt(-1, limit)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library: nothing to set
+        pass
+
+
+_give_back()
+
 SLICE = 4 << 20
 _PIECE = 1 << 20
 
