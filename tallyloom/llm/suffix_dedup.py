@@ -6,16 +6,20 @@ of ``GRAM`` bytes in a string the one of least hash (the leftmost of equals) is
 its anchor, which depends on its content alone; neighbouring strings with one
 anchor are a segment, and a segment belongs to the shard of its anchor's hash.
 
-Rounds over ranges of ids (see ``ranged``): 1 which anchors occur twice; 2 the
-distinct segments around these, to their shards. There equal segments are told
-by their hash (all their strings repeat), and where an anchor has several
-segments, one of each is suffix sorted (``induced_sort``): strings that share
+Rounds over ranges of ids (see ``ranged``): 1 which anchors occur twice. A string
+has an anchor by a second hash too; a string that repeats has both anchors twice,
+so the strings around a passage that many texts share, in a context of their own,
+mostly go no further. 2 The distinct runs of strings that are left, cut by anchor,
+to their shards. There equal segments are told by their hash (all their strings
+repeat), and where an anchor has several segments, one of each is suffix sorted
+(``induced_sort``, external: beyond a bound of bytes in files): strings that share
 ``length`` bytes stand side by side. A bit for each string goes back; 3 removal.
 A shard gets a segment once from each range, however often it occurs.
 
 Defined results: null and empty texts, and those of fewer than ``length`` bytes,
 keep all; rows that repeat an id are texts of their own; matches never cross
-texts; an empty table gives an empty one. Columns named like an output are
+texts; an empty table gives an empty one; ids must be whole numbers (others raise
+an error). Columns named like an output are
 replaced, the text column by ``kept``, which is binary as cuts may fall inside
 characters.
 """
@@ -29,15 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textops as tx
-from .induced_sort import suffix_array
+from .induced_sort import Memory, sorted_suffixes
 from .ranged import ANSWER, Ranges, answered, grouped, in_order
 from .ordered import RANGE
 from .scratch import Scratch
 
 LENGTH = 400
 GRAM = 64
-#: Bytes of texts whose strings are hashed at a time, and of segments that are sorted at a time (those of one anchor are never parted).
+#: Bytes of texts whose strings are hashed at a time, and of segments that are sorted at a time (those of one anchor are
+#: never parted: if they are more, the sort goes to files).
 PART = 1 << 20
+SORTED = 2 << 20
+SECOND = np.uint64(0x5851F42D4C957F2D)
 SEGMENTS = "bucket int, __range int, anchors binary, lengths binary, twice binary, data binary"
 
 
@@ -54,14 +61,9 @@ def gram_hashes(buf: np.ndarray, size: int) -> np.ndarray:
     return tx.mix(out)
 
 
-def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first string and number of strings of every segment."""
-    n = len(buf) - length + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none.astype(np.uint64), none, none
-    hashes = gram_hashes(buf, gram)
-    window = length - gram + 1
+def _cut(hashes: np.ndarray, window: int, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first string and number of strings of every run of valid strings with one anchor."""
+    n = len(ok)
     keyed = (hashes & ~np.uint64(0xFFFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)
     blocks = -(-len(keyed) // window)
     grid = np.full(blocks * window, np.iinfo(np.uint64).max, np.uint64)
@@ -70,12 +72,6 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     anchor = (np.minimum(behind[:n], ahead[window - 1 : window - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ok = np.ones(n, bool)  # strings that lie within one text
-    edge = np.zeros(n + 1, np.int64)
-    lo = np.clip(off[1:] - length + 1, off[:-1], n)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, np.minimum(off[1:], n), -1)
-    ok = np.cumsum(edge[:-1]) == 0
     new = np.zeros(n, bool)
     new[0] = True
     new[1:] = (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1])
@@ -83,7 +79,23 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     counts = np.diff(np.append(starts, n))
     mine = ok[starts]
     starts, counts = starts[mine], counts[mine]
-    return hashes[anchor[starts]], starts, counts
+    # The least of many hashes is small: mixed again, anchors spread over all shards.
+    return tx.mix(hashes[anchor[starts]] + SECOND), starts, counts
+
+
+def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
+    """(anchor hash, first string, number of strings) of every segment, by the first and by the second hash."""
+    n = len(buf) - length + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
+        return ((none.astype(np.uint64), none, none),) * 2
+    edge = np.zeros(n + 1, np.int64)
+    lo = np.clip(off[1:] - length + 1, off[:-1], n)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, np.minimum(off[1:], n), -1)
+    ok = np.cumsum(edge[:-1]) == 0  # strings that lie within one text
+    hashes = gram_hashes(buf, gram)
+    return tuple(_cut(h, length - gram + 1, ok) for h in (hashes, tx.mix(hashes ^ SECOND)))
 
 
 class Texts:
@@ -92,28 +104,52 @@ class Texts:
     def __init__(self, table: pa.Table, length: int, gram: int):
         self.length = length
         self.buf, self.off = tx.buffers(table.column("text"))
-        found = []
+        found: list[list] = [[], []]
         a = 0
         while a < len(self.off) - 1:  # whole texts of about a megabyte at a time
             b = max(a + 1, int(np.searchsorted(self.off, self.off[a] + PART, "right")) - 1)
             base = self.off[a]
-            anchors, starts, counts = segments(self.buf[base : self.off[b]], self.off[a : b + 1] - base, length, gram)
-            found.append((anchors, starts + base, counts))
+            for part, (anchors, starts, counts) in zip(found, segments(self.buf[base : self.off[b]], self.off[a : b + 1] - base, length, gram)):
+                part.append((anchors, starts + base, counts))
             a = b
         none = np.zeros(0, np.int64)
-        self.anchors, self.starts, self.counts = (np.concatenate(x) for x in zip(*found)) if found else (none.astype(np.uint64), none, none)
+        (self.anchors, self.starts, self.counts), self.second = (
+            tuple(np.concatenate(x) for x in zip(*part)) if part else (none.astype(np.uint64), none, none) for part in found
+        )
 
     def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, which of them occur twice here, and each segment's."""
-        order, first, group = grouped(self.anchors)
+        """Distinct anchors by either hash, which of them occur twice here, and each segment's (those by the first hash come first)."""
+        both = np.concatenate([self.anchors, self.second[0]])
+        order, first, group = grouped(both)
         size = np.diff(np.append(first, len(order)))
-        return self.anchors[order][first], size > 1, group
+        return both[order][first], size > 1, group
+
+    def keep(self, often: np.ndarray, group: np.ndarray) -> None:
+        """Cuts the segments down to runs of strings both of whose anchors occur twice."""
+        one, two = often[group[: len(self.anchors)]], often[group[len(self.anchors) :]]
+        n = len(self.buf)
+        ok = np.zeros(n + 1, bool)
+        for a, c in zip(self.second[1][two].tolist(), self.second[2][two].tolist()):
+            ok[a : a + c] = True
+        mine = np.zeros(n + 1, bool)
+        cut = np.zeros(n + 1, bool)
+        for a, c in zip(self.starts[one].tolist(), self.counts[one].tolist()):
+            mine[a : a + c] = True
+            cut[a] = True
+        ok &= mine
+        begin = ok.copy()
+        begin[1:] &= ~ok[:-1] | cut[1:]
+        end = ok.copy()
+        end[:-1] &= ~ok[1:] | cut[1:]
+        starts = np.flatnonzero(begin)
+        whose = np.searchsorted(self.starts, starts, "right") - 1
+        self.anchors, self.starts, self.counts = self.anchors[whose], starts, np.flatnonzero(end) + 1 - starts
 
     def shared(self, answers: pa.Table, bits: int):
         """Distinct segments with anchors that occur twice: rows in their order, and the group of every such segment."""
         anchors, here, group = self.asked()
-        often = answered(answers, 1, anchors, 64 - bits) | here
-        rows = np.flatnonzero(often[group])
+        self.keep(answered(answers, 1, anchors, 64 - bits) | here, group)
+        rows = np.arange(len(self.anchors))
         content = tx.span_hashes(self.buf, self.starts[rows], self.starts[rows] + self.counts[rows] + self.length - 1)
         order = np.lexsort((content, self.anchors[rows]))
         r, c = rows[order], content[order]
@@ -149,14 +185,75 @@ class Texts:
 
 
 def _gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    return buf[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])]
-
-
-def repeats_in_shard(anchors: np.ndarray, lengths: np.ndarray, data: np.ndarray, twice: np.ndarray, length: int) -> np.ndarray:
-    """For each string of the segments, in their order, whether it occurs again."""
+    out = np.empty(int(lengths.sum()), buf.dtype)
+    at = 0
+    for a, n in zip(starts.tolist(), lengths.tolist()):
+        out[at : at + n] = buf[a : a + n]
+        at += n
+    return out
+
+
+def repeats_of(text: np.ndarray, valid: np.ndarray, length: int, memory: Memory) -> np.ndarray:
+    """Which valid positions begin a string of ``length`` bytes that another valid position begins too."""
+    found = memory.vector(len(text), bool)
+    alone = -1  # a valid position of the run of equal strings that the last block ended in, if it is its only one yet
+    many = False  # whether that run has two
+    for at, lcp in sorted_suffixes(text, length, memory):
+        new = lcp < length
+        run = np.cumsum(new)  # 0: the run that goes on
+        mine = valid[at]
+        size = np.bincount(run, weights=mine, minlength=int(run[-1]) + 1)
+        if size[0] and alone >= 0:
+            found[alone] = True
+        size[0] += (2 if many else alone >= 0) if size[0] or run[-1] == 0 else 0
+        found[at[mine & (size[run] > 1)]] = True
+        last = run == run[-1]
+        of_last = at[last & mine]
+        if run[-1]:
+            alone, many = (int(of_last[0]) if len(of_last) == 1 else -1), len(of_last) > 1
+        elif len(of_last):
+            alone, many = (int(of_last[0]), False) if size[0] == 1 else (-1, True)
+    return found
+
+
+def repeats_in_shard(anchors: np.ndarray, lengths: np.ndarray, data: np.ndarray, twice: np.ndarray, length: int, gram: int, folder: str | None = None) -> np.ndarray:
+    """For each string of the segments, in their order, whether it occurs again.
+
+    A string that repeats has its first and its last gram in common with another
+    one: strings whose pair of these is alone here are out, which leaves of a common
+    passage in thousands of contexts the strings that lie within it. What is left is
+    cut to runs of strings, and these are compared whole, and sorted where they differ.
+    """
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     counts = lengths - length + 1
+    if not len(counts):
+        return np.zeros(0, bool)
+    hashes = gram_hashes(data, gram)
+    segment = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    at = np.arange(len(segment)) + (starts - np.cumsum(counts) + counts)[segment]
+    ends = tx.mix(hashes[at] * SECOND + hashes[at + length - gram])
+    del hashes
+    in_order = np.sort(ends)
+    shared = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
+    left = twice[segment].astype(bool)
+    if len(shared):
+        left |= shared[np.minimum(np.searchsorted(shared, ends), len(shared) - 1)] == ends
+    del in_order, ends, shared
+    begin = left.copy()
+    begin[1:] &= ~left[:-1] | (segment[1:] != segment[:-1])
+    end = left.copy()
+    end[:-1] &= ~left[1:] | (segment[1:] != segment[:-1])
+    first, last = np.flatnonzero(begin), np.flatnonzero(end)
+    out = np.zeros(len(left), bool)
+    out[left] = _repeats(anchors[segment[first]], at[first], last - first + 1, data, twice[segment[first]], length, folder)
+    return out
+
+
+def _repeats(anchors: np.ndarray, starts: np.ndarray, counts: np.ndarray, data: np.ndarray, twice: np.ndarray, length: int, folder: str | None) -> np.ndarray:
+    """For each string of these runs, in their order, whether it occurs again."""
+    if not len(counts):
+        return np.zeros(0, bool)
+    lengths = counts + length - 1
     content = tx.span_hashes(data, starts, starts + lengths)
     order = np.lexsort((content, anchors))
     new = np.ones(len(order), bool)
@@ -178,34 +275,40 @@ def repeats_in_shard(anchors: np.ndarray, lengths: np.ndarray, data: np.ndarray,
     a = 0
     while a < len(kept):
         # Equal strings have equal anchors, so whole groups of an anchor are sorted by themselves.
-        b = max(a + 1, int(np.searchsorted(size, size[a] + PART, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(size, size[a] + SORTED, "right")) - 1)
         b = int(np.searchsorted(own, own[b - 1], "right"))
-        text = _gather(data, starts[kept[a:b]], lengths[kept[a:b]])
-        n = counts[kept[a:b]]
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        windows = np.repeat(size[a:b] - size[a], n) + nth
-        valid = np.zeros(len(text), bool)
-        valid[windows] = True
-        sa, lcp = suffix_array(text, length)
-        run = np.cumsum(lcp < length) - 1
-        found = np.zeros(len(text), bool)
-        found[sa] = (np.bincount(run, weights=valid[sa])[run] > 1) & valid[sa]
-        flag[np.repeat(flag_at[a:b], n) + nth] |= found[windows]
+        memory = Memory(folder=folder)
+        text = memory.vector(int(size[b] - size[a]), np.uint8)
+        valid = memory.vector(len(text), bool)
+        for k in range(a, b):
+            lo = int(size[k] - size[a])
+            text[lo : lo + int(lengths[kept[k]])] = data[starts[kept[k]] : starts[kept[k]] + lengths[kept[k]]]
+            valid[lo : lo + int(counts[kept[k]])] = True
+        found = repeats_of(text, valid, length, memory)
+        for k in range(a, b):
+            lo, f, n = int(size[k] - size[a]), int(flag_at[k]), int(counts[kept[k]])
+            flag[f : f + n] |= found[lo : lo + n]
         a = b
-    source = np.repeat(at[number] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    return flag[source]
+    out = np.empty(int(counts.sum()), bool)
+    begin = 0
+    for k, n in zip(number.tolist(), counts.tolist()):
+        out[begin : begin + n] = flag[at[k] : at[k] + n]
+        begin += n
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, label: str = "suffix-dedup") -> DataFrame:
     """The rows of ``docs`` with n_bytes, n_removed, n_spans and, in place of the text, kept."""
     scratch = Scratch(docs.sparkSession, label)
+    # What a sort holds in files stays with its task; a shared folder that is a path here takes it, else the task's own.
+    folder = scratch.path.removeprefix("file://").rpartition("/")[0] if scratch.path.startswith("file:") else None
     ranges = Ranges(docs, id_col, text_col)
     ranges.bits += 2  # small shards, as sorting takes much more memory than the text
     bits = ranges.bits
 
     def anchors(table: pa.Table, _):
         found, here, _group = Texts(table, length, gram).asked()
-        return found, here, 64 - bits
+        return found, here, 64 - bits  # an anchor by one hash that equals one by the other costs a comparison, no more
 
     def twice(hashes: np.ndarray, _ranges, _flags) -> np.ndarray:
         if len(hashes) == 0:
@@ -248,7 +351,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             lengths = [np.frombuffer(r[3], np.uint32).astype(np.int64) for r in rows]
             flag = repeats_in_shard(
                 np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), np.concatenate(lengths), np.concatenate([np.frombuffer(r[5], np.uint8) for r in rows]),
-                np.concatenate([np.unpackbits(np.frombuffer(r[4], np.uint8), count=len(n)) for r, n in zip(rows, lengths)]), length)
+                np.concatenate([np.unpackbits(np.frombuffer(r[4], np.uint8), count=len(n)) for r, n in zip(rows, lengths)]), length, gram, folder)
             at = np.concatenate([[0], np.cumsum([int((n - length + 1).sum()) for n in lengths])])
             yield pa.RecordBatch.from_pydict({
                 "__range": pa.array([r[1] for r in rows], pa.int32()), "round": pa.array([2] * len(rows), pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()),

@@ -7,8 +7,8 @@ from tallyloom.llm import induced_sort as ind
 from tallyloom.llm import suffix_dedup as sd
 
 
-def check_order(t, depth, queue):
-    order, lcp = ind.suffix_array(t, depth, None, queue)
+def check_order(t, depth, memory, base):
+    order, lcp = ind.suffix_array(t, depth, memory, base)
     assert sorted(order.tolist()) == list(range(len(t)))
     for i in range(1, len(t)):
         a, b = t[order[i - 1] :], t[order[i] :]
@@ -17,13 +17,41 @@ def check_order(t, depth, queue):
         assert shared == lcp[i], (t, depth, i)
 
 
-def test_order_and_common_prefixes():
+def test_order_and_common_prefixes(monkeypatch):
     rng = random.Random(0)
     for _ in range(700):
         alphabet = rng.choice(["ab", "abc", "a", "abcdefgh", "\x00\x01a", "ÿ\x00"])
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))).encode("latin-1") * rng.choice([1, 1, 2, 4])
-        check_order(t, rng.choice([1, 2, 3, 5, 8, 16, 50, 400]), rng.choice([0, 1, 10, 1 << 20]))
-    check_order(bytes(range(256)) * 2 + b"z" * 300 + bytes(range(255, -1, -1)), 400, 7)
+        monkeypatch.setattr(ind, "CHUNK", rng.choice([4, 16, 1 << 18]))
+        memory = ind.Memory(rng.choice([1, 100, 1 << 20]))
+        check_order(t, rng.choice([1, 2, 3, 5, 8, 16, 50, 400]), memory, rng.choice([1, 2, 7, 1 << 20]))
+    check_order(bytes(range(256)) * 2 + b"z" * 300 + bytes(range(255, -1, -1)), 400, ind.Memory(64), 7)
+
+
+def test_a_shard_far_larger_than_its_memory_is_sorted_through_files(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 9))).encode() for _ in range(60)]
+    t = b" ".join(rng.choice(words) for _ in range(9000))
+    want = ind.suffix_array(t, 50)
+    monkeypatch.setattr(ind, "CHUNK", 1000)
+    memory = ind.Memory(4096)
+    got = ind.suffix_array(t, 50, memory, 500)  # names are sorted by recursion, with heaps of 500 tuples
+    keys = [t[i : i + 50] for i in got[0].tolist()]
+    assert keys == [t[i : i + 50] for i in want[0].tolist()] and (got[1] == want[1]).all()
+    assert len(t) > 10 * memory.bound and memory.spilled > 8 * len(t)
+
+
+def test_repeats_do_not_depend_on_the_blocks_of_the_sort(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(60):
+        text = np.array([rng.choice(b"ab") for _ in range(rng.randrange(6, 90))], np.uint8)
+        valid = np.array([rng.random() < 0.6 for _ in text])
+        valid[-3:] = False
+        monkeypatch.setattr(ind, "CHUNK", rng.choice([1, 3, 1000]))
+        found = sd.repeats_of(text, valid, 4, ind.Memory(rng.choice([1, 1 << 20])))
+        strings = [bytes(text[i : i + 4]) for i in range(len(text))]
+        want = [bool(v) and sum(strings[j] == strings[i] and len(strings[i]) == 4 for j in np.flatnonzero(valid)) > 1 for i, v in enumerate(valid)]
+        assert found.tolist() == want
 
 
 def plain(texts, length):
@@ -49,7 +77,7 @@ def test_equals_brute_force(spark, length, gram, seed):
     passages = [make(rng.randrange(length // 2, 3 * length)) for _ in range(5)]
     rows = [(i, "".join(rng.choice(passages)[rng.randrange(5) :] if rng.random() < 0.5 else make(rng.randrange(length)) for _ in range(rng.randrange(5)))) for i in range(70)]
     rows += [(3, None), (None, ""), (None, passages[0]), (200, "a" * 3 * length), (201, "ab" * 2 * length), (201, "ab" * 2 * length), (7, make(4000))]
-    df = spark.createDataFrame([(*r, "own", "en") for r in rows], "doc_id long, text string, kept string, lang string").repartition(3)
+    df = spark.createDataFrame([(*r, "own", "en") for r in rows], "doc_id long, text string, kept string, __key string").repartition(3)
     got = sd.dedup(df, length=length, gram=gram).collect()
     want = plain([(t or "").encode() for _, t in rows], length)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((str(d), *w) for (d, _), w in zip(rows, want))
