@@ -95,7 +95,7 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     np.add.at(edge, np.minimum(off[1:], n), -1)
     ok = np.cumsum(edge[:-1]) == 0  # strings that lie within one text
     hashes = gram_hashes(buf, gram)
-    return tuple(_cut(h, length - gram + 1, ok) for h in (hashes, tx.mix(hashes ^ SECOND)))
+    return tuple(_cut(h, length - gram + 1, ok) for h in (hashes, hashes * SECOND))
 
 
 class Texts:
@@ -303,7 +303,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     # What a sort holds in files stays with its task; a shared folder that is a path here takes it, else the task's own.
     folder = scratch.path.removeprefix("file://").rpartition("/")[0] if scratch.path.startswith("file:") else None
     ranges = Ranges(docs, id_col, text_col)
-    ranges.bits += 2  # small shards, as sorting takes much more memory than the text
     bits = ranges.bits
 
     def anchors(table: pa.Table, _):
