@@ -221,8 +221,13 @@ pk as (select pe.key as erp_key, pc.key as crm_key, pe.cents as ec, pc.cents as
 payment as (select erp_key, crm_key from pk union all select key, null from pe where key not in (select erp_key from pk) union all select null, key from pc where key not in (select crm_key from pk))"""
 
 
-def _payments(spark, sf_dir, system: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_shipdate").cast("date").alias("d")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+def _lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_shipdate").cast("date").alias("d")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+
+
+def _payments(spark, sf_dir, system: str, lines: DataFrame | None = None) -> DataFrame:
+    """``lines``: as ``_lines`` gives them, if they are there already."""
+    lines = _lines(spark, sf_dir) if lines is None else lines
     own, parent, drop, more = ("P", "I", 4, "if(o % 9 = 0, 150, 0)") if system == "erp" else ("Q", "J", 6, "0")
     return lines.where(f"o % {drop} <> 0").selectExpr(f"'{system}' as source_system", f"concat('{own}', o, '/', d) as business_key", f"concat('{parent}', o) as invoice_business_key", "d as payment_date", f"cast((cents + {more}) / 100.0 as decimal(38,18)) as amount")
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators.resolve import ambiguous_candidates, mutual_top, resolve_customers
+from .operators.resolve import ambiguous_candidates, mutual_top, resolve_customers, resolve_payments
 from .operators.upsert import violations
 from .operators.validate import validate
 from .plans import measures, persist, report
 from .plans.reconcile import Result
-from .queries import INVOICE_SQL, LINES, PAYMENT_SQL, _customers, _invoices, _paid, _payments, _raw_invoices, _resolved, nested, query, table
+from .queries import INVOICE_SQL, LINES, PAYMENT_SQL, _customers, _invoices, _lines, _payments, _raw_invoices, _resolved, nested, query, table
 from .schemas import ENTITIES, ERP_COLUMNS, REASONS, SYSTEMS
 from .sources.exports import RawTables, ingest, read_crosswalk
-from .sources.workspace import Workspace
+from .sources.workspace import Workspace, brief_shuffles
 
 
 def _exported(spark, sf_dir, lines: bool) -> RawTables:
@@ -200,13 +200,16 @@ def q_constraints(spark, sf_dir):
 def _result(spark, sf_dir, invoices=None) -> Result:
     """A run's frames over the tables: customers by key, invoices and payments resolved."""
     none = F.lit(None).cast("string")
-    clean = {}
+    clean, work = {}, Workspace(spark, "result")
+    lines = work.keep(_lines(spark, sf_dir), "lines")
     for system, letter in (("erp", "E"), ("crm", "C")):
         clean[system, "customer"] = table(spark, sf_dir, "customer").select(F.lit(system).alias("source_system"), F.concat(F.lit(letter), F.col("c_custkey").cast("string")).alias("business_key"), F.col("c_name").alias("full_name"))
         clean[system, "invoice"] = _invoices(spark, sf_dir, system)
-        clean[system, "payment"] = _payments(spark, sf_dir, system)
-    resolved = Workspace(spark, "result").keep(_resolved(spark, sf_dir)[0], "invoices")
-    crosswalk = _customers(spark, sf_dir).select("entity_type", F.concat_ws("/", "erp_key", "crm_key").alias("canonical_id"), "erp_key", "crm_key").unionAll(resolved).unionAll(_paid(spark, sf_dir)[0])
+        clean[system, "payment"] = _payments(spark, sf_dir, system, lines)
+    # As in a run, what is resolved is written once: each figure of the report would else resolve it all again.
+    resolved = work.keep(_resolved(spark, sf_dir)[0], "invoices")
+    paid = work.keep(resolve_payments(clean["erp", "payment"], clean["crm", "payment"], resolved)[0], "payments")
+    crosswalk = _customers(spark, sf_dir).select("entity_type", F.concat_ws("/", "erp_key", "crm_key").alias("canonical_id"), "erp_key", "crm_key").unionAll(resolved).unionAll(paid)
     bad = validate(_raw_invoices(spark, sf_dir), "invoice", "erp")[1].select("entity_type", "source_system", "reason_code", "stage", "original_data", F.lit(0).alias("__part"), F.lit("").alias("__seq"))
     logs = spark.createDataFrame([], "key_column string, key_value string, row_count long, differing_columns array<string>, __part int, __seq string")
     raw = RawTables({(s, e): clean[s, e].select(none.alias("x")) for s in SYSTEMS for e in ENTITIES})
@@ -258,7 +261,8 @@ union all select 'ERP-only: ' || count(*) filter (erp_key is not null and crm_ke
 union all select 'Mismatched payments: ' || n from d union all select 'Duplicate groups collapsed: 0'""")
 def q_report(spark, sf_dir):
     """The report's figures, line by line as they are rendered."""
-    text = report.render(_result(spark, sf_dir))
+    with brief_shuffles(spark):
+        text = report.render(_result(spark, sf_dir))
     heads = ("| Source", "| ---", "| Entity", "| Reason", "- `", "- ...", "Total", "#", "_none_")
     lines = [x for x in text.split("\n") if x and not x.startswith(heads)]
     return spark.createDataFrame([(x,) for x in lines], "line string")

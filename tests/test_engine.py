@@ -190,6 +190,19 @@ def test_letters_meet_in_blocks_that_pass_no_driver(spark, monkeypatch):
     assert found == pairs(False) and {(f"a{i}", f"b{i}") for i in range(40)} <= {(a, b) for a, b, _ in found}
 
 
+def test_a_report_reads_what_was_resolved_and_leaves_the_session_as_it_was(spark):
+    from tallyloom import queries_exports
+    from tallyloom.sources.workspace import CLEANUP, brief_shuffles
+
+    before = spark.conf.get(CLEANUP)
+    with brief_shuffles(spark):
+        result = queries_exports._result(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(CLEANUP) == "true"
+    assert spark.conf.get(CLEANUP) == before
+    for df in (result.crosswalk, result.clean["erp", "payment"], result.clean["crm", "payment"]):
+        assert "Exchange" not in df._jdf.queryExecution().toString()
+
+
 def test_quarantined_decimals_are_written_in_full(spark):
     # to_json alone writes the first two as 0E-18 and 1E-18
     amounts = ["0.000000000000000000", "0.000000000000000001", "-12345678901234567890.000000000000000005", "7.500000000000000000", None]
