@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import induced_sort as ind
@@ -88,3 +89,59 @@ def test_empty_table(spark):
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert [bytes(r.kept) for r in sd.dedup(df).collect()] == [b""]
     assert sd.dedup(df.where("false")).count() == 0
+
+
+def test_long_matches_are_not_compared_again_for_every_suffix(monkeypatch):
+    rng = random.Random(8)
+    passage = bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
+    text = np.frombuffer(passage + b"!" + passage[500:] + b"?" + passage[:2000], np.uint8)
+    compared, plain_prefix = [], ind.common_prefix
+
+    def counted(*args):
+        found = plain_prefix(*args)
+        compared.append(int(found.sum()))
+        return found
+
+    monkeypatch.setattr(ind, "common_prefix", counted)
+    ind.suffix_array(text, 400)
+    assert sum(compared) < 6 * len(text)  # some 60 times that otherwise
+
+
+def test_common_prefixes_of_pairs_equal_a_plain_loop():
+    rng = random.Random(9)
+    for _ in range(300):
+        t = "".join(rng.choice(rng.choice(["a", "ab", "abcd"])) for _ in range(rng.randrange(2, 60))).encode() * rng.choice([1, 2, 3])
+        depth = rng.choice([1, 3, 8, 20, 400])
+        pairs = [(i, j) for i in range(len(t)) for j in [rng.randrange(len(t)), (i + 7) % len(t)] if i != j]
+        pairs = list(dict.fromkeys(pairs))
+        a, b = (np.array(x) for x in zip(*pairs))
+        want = [next((k for k in range(depth) if max(i, j) + k >= len(t) or t[i + k] != t[j + k]), depth) for i, j in pairs]
+        assert ind.common_prefixes(np.frombuffer(t, np.uint8), a, b, depth).tolist() == want
+
+
+def test_anchors_are_the_least_hashes_of_their_windows():
+    rng = np.random.default_rng(5)
+    for k in range(200):
+        window, n = int(rng.integers(1, 40)), int(rng.integers(40, 400))
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        if k % 3:
+            hashes = hashes[rng.integers(0, int(rng.integers(1, 30)), n)]  # equal ones
+        if k % 5 == 0:
+            hashes[100:160] = 7  # a row of equal least ones
+        first, place = sd._runs_of_least(hashes, window, int(rng.choice([2, 8, 32, 1 << 40])))
+        want = np.array([s + int(np.argmin(hashes[s : s + window])) for s in range(n - window + 1)])
+        assert np.repeat(place, np.diff(np.append(first, len(want)))).tolist() == want.tolist()
+
+
+def test_the_last_round_does_not_hash_the_texts_again(monkeypatch):
+    table = pa.table({"text": ["x" * 3 + "abcdefgh" * 3, "abcdefgh" * 2, "zzzz"]})
+    t = sd.Texts(table, 8, 3)
+    found, here, group = t.asked()
+    _, number, rows, again = t.shared(pa.table({"round": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())}), 1)
+    note = sd._noted(t.starts, t.counts, number, rows, (t.anchors[rows] >> np.uint64(63)).astype(np.int64), again)
+    monkeypatch.setattr(sd, "gram_hashes", None)
+    buckets = t.anchors[rows] >> np.uint64(63)
+    bits = [np.packbits(np.ones(int(t.counts[rows][buckets == b].sum()), bool)).tobytes() for b in (0, 1)]
+    answers = pa.table({"round": [sd.NOTE, 2, 2], "bucket": [-1, 0, 1], "bits": [note, *bits]})
+    gone = sd.repeated(len(t.buf), answers, 8)
+    assert gone[3:27].all() and gone[27:43].all() and not gone[43:].any() and not gone[:3].all()
