@@ -9,7 +9,8 @@ counts as one bigram of itself. A coefficient of t needs a set size between
 these bounds, and only against the templates that they leave. Before that, a
 prefix filter: a match leaves out few of a template's bigrams, so it holds one
 of any larger choice of them; a unit without any word of such choices is not
-normalised at all. Everything is one narrow DataFrame expression: no join, no
+normalised at all, and runs (see below) are looked for only in texts with enough
+different words of one template. Everything is one narrow DataFrame expression: no join, no
 shuffle.
 
 Lines are not how licences are laid out, so ``runs`` adds units: a run is any
@@ -88,8 +89,12 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])} or set(words))
 
 
+#: ``[^a-z0-9.]+`` by what it takes: Java's matcher is some ten times slower with the class of what it leaves out.
+_BETWEEN = r"[\x00-\x2d/:-`{-\x{10ffff}]+"
+
+
 def _words(unit: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(F.lower(unit), r"[^a-z0-9.]+", " "), r"\.+(?= |$)", "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(unit), _BETWEEN, " "), r"\.+(?= |$)", "")
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
@@ -232,7 +237,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
     units = F.transform(lines, lambda x, i: F.struct(i.alias("unit"), x.alias("text")))
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("unit"), F.translate(F.col(text_col), "\n", " ").alias("text")))).otherwise(F.array().cast("array<struct<unit:int,text:string>>"))
     candidates = F.filter(F.concat(units, whole), lambda u: tells(F.lower(u["text"])))
-    sets = F.transform(candidates, lambda u: F.struct(u["unit"].alias("unit"), _bigrams(_words(u["text"])).alias("grams")))
+    sets = F.transform(candidates, lambda u: F.struct(u["unit"].alias("unit"), _bound(_words(u["text"]), _bigrams).alias("grams")))
     sets = F.filter(sets, lambda u: F.size(u["grams"]).between(low, high))
 
     def match(u: Column) -> Column:
@@ -241,14 +246,12 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
             a, b = sizes[name]
             n = F.size(u["grams"])
             common = F.size(F.array_intersect(u["grams"], F.array(*[F.lit(g) for g in grams])))
-            dice = F.when(n.between(a, b), 2.0 * common / (n + len(grams)))
-            scored.append(F.when(dice >= threshold, F.struct(dice.alias("dice"), F.lit(name).alias("name"), common.alias("common"))))
-        scored = F.filter(F.array(*scored), lambda s: s.isNotNull())
+            scored.append(F.when(n.between(a, b), _bound(common, lambda c: F.struct((2.0 * c / (n + len(grams))).alias("dice"), F.lit(name).alias("name"), c.alias("common")))))
+        scored = F.filter(F.array(*scored), lambda s: s["dice"] >= threshold)
         top = F.aggregate(scored, F.lit(None).cast("struct<dice:double,name:string,common:int>"), lambda acc, s: F.when(acc.isNull() | (s["dice"] > acc["dice"]), s).otherwise(acc))
-        return F.struct(u["unit"].alias("unit"), top["name"].alias("name"), top["dice"].alias("dice"), top["common"].alias("common"))
+        return _bound(top, lambda t: F.struct(u["unit"].alias("unit"), t["name"].alias("name"), t["dice"].alias("dice"), t["common"].alias("common")))
 
     found = F.filter(F.transform(sets, match), lambda m: m["name"].isNotNull())
-    empty = F.array().cast("array<struct<unit:int,name:string,dice:double>>")
     none = F.array().cast("array<struct<unit:int,name:string,dice:double,common:int>>")
     rows = docs.drop("licences", LOWERED).withColumn(LOWERED, F.lower(text_col))
     told_any = tells(F.col(LOWERED))
@@ -257,13 +260,12 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
     if runs is None:
         return rows.withColumn("licences", shown(found)).drop(LOWERED)
     wide = {name: grams for name, text in sorted(runs.items()) if (grams := template_bigrams(text))}
-    known = [(sorted({w for g in grams for w in g.split(" ")}), _least_words(grams, _least_common(len(grams), threshold))) for grams in wide.values()]
+    known = [(sorted({w for g in grams for w in g.split(" ")}), _least_words(grams, _least_common(len(grams), threshold))) for grams in (table | wide).values()]
     held = F.array_intersect(_words(F.col(text_col)), _listed(sorted({w for words, _ in known for w in words})))
     needs = F.array(*[F.struct(F.lit(n).alias("least"), _listed(words).alias("words")) for words, n in known])
     enough = lambda h: F.exists(needs, lambda t: (F.size(h) >= t["least"]) & (F.size(F.array_intersect(h, t["words"])) >= t["least"]))
-    may = told_any | _bound(held, enough)
     both = lambda old: F.concat(shown(old), _runs(F.col(text_col), old, table | wide, threshold))
-    return rows.withColumn("licences", F.when(may, _bound(found, both)).otherwise(empty)).drop(LOWERED)
+    return rows.withColumn("licences", F.when(_bound(held, enough), _bound(found, both)).otherwise(shown(found))).drop(LOWERED)
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
