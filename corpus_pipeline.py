@@ -71,8 +71,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_codec.encode(docs, model)
-    return sentencepiece_codec.decode(coded, model).withColumn("n_tokens", F.size("ids").cast("long"))
+    return sentencepiece_codec.round_trip(docs, model).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

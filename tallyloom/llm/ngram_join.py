@@ -153,6 +153,7 @@ class Band:
 
 def _digests(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.let_go()
         for batch in tx.slices(batches, "text"):
             flat, off = shingle_sets(batch.column("text"), n)
             weak = [Band(flat, off, which, percent).weak_at() for which in (0, 1)]
@@ -165,6 +166,7 @@ def _digests(n: int, percent: int):
 
 def _entries(n: int, percent: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.let_go()
         for batch in tx.slices(batches, "text", 2 * tx.SLICE):
             flat, off = shingle_sets(batch.column("text"), n)
             ids = set_ids(flat, off)
@@ -249,6 +251,7 @@ class Bucket:
 
 def _search(hot: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.let_go()
         bucket, waiting, size = None, [], 0
 
         def flush():

@@ -140,6 +140,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+tx.keeps(codec.cache_clear)
+
+
 def _without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c not in names]
 
@@ -176,6 +179,24 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "dec
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in names] + [T.StructField(text_col, T.StringType())]))
 
 
+def round_trip(df: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``df`` with the ids of the whole text and the text of these ids, as ``decode`` over ``encode``.
+
+    Both in one pass, so that a task has one Python worker (and one table of words) and not two.
+    """
+    names = _without(df, ids_col, decoded_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for batch in tx.slices(batches, text_col, 1 << 20):
+            ids, off = c.encode(batch.column(text_col))
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [lists, c.decode(ids, off)], names=names + [ids_col, decoded_col])
+
+    new = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())]
+    return df.mapInArrow(run, T.StructType([df.schema[c] for c in names] + new))
+
+
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

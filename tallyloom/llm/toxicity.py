@@ -520,6 +520,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.let_go()
         for batch in tx.slices(batches, text_col, 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(shared.value.score(batch.column(text_col)), pa.float64())], names=names + [score_col])
 
